@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.words import columns, parts, texts
+from lintel.llm.shared import stored
+from lintel.llm.words import columns, parts
 
 #: Most labelled rows that entries of lexicons are learned from, and most rows that the classifier is fitted on.
 MOST_LABELLED, MOST_FITTED = 12_000, 20_000
@@ -23,57 +24,77 @@ LIFT, LEAST_ROWS = 40, 4
 COVER, HELPS = 4, 0.002
 #: Rows with one crc32 remainder are held out: their labels are not read.
 FOLDS, HELD_OUT = 3, 1
+#: How many times a labelled row counts against an unlabelled one in the label model.
+TRUST = 5
 #: English insults.
 INSULTS = ("idiot", "moron", "stupid", "pathetic", "worthless", "loser", "scum", "trash", "disgusting", "clown", "imbecile", "dumb", "vermin", "filthy", "bastard", "coward", "pig", "freak", "creep", "jerk", "fool", "ugly", "garbage", "parasite", "subhuman", "retard")
 PATTERNS = (r"\byou (?:are|re) (?:such )?an? \w+ (?:and|piece)", r"\bshut up\b", r"\bhate (?:you|them)\b", r"\bgo (?:die|kill yourself)\b", r"\bkill (?:yourself|them all)\b")
 #: Lengths of the beginnings of words that make up the pattern voters which are learned.
-BEGINNINGS = (4, 5, 6)
-VOTERS = ("insults", "several insults", "phrases", "words, even", "words, odd", *(f"beginnings of {n}" for n in BEGINNINGS), "nothing found")
+BEGINNINGS = (4, 5, 6, 7)
+VOTERS = ("insults", "several insults", "phrases", "words, even", "words, odd", *(f"beginnings of {n}" for n in BEGINNINGS), "a beginning of several words", "several entries", "nothing found")
+#: Which of the rows that may be learned from give entries; the others tell how far to trust the voters.
+MINED = 0
 
-_MARKS = bytes(32 if 33 <= i < 65 or 91 <= i < 97 or 123 <= i < 127 else i for i in range(256))
-_phrases = re.compile("|".join(PATTERNS).encode())
+_MARKS = {i: " " for i in [*range(33, 65), *range(91, 97), *range(123, 127)]}
+_phrases = re.compile("|".join(PATTERNS))
 
 
-def words_of(raw: bytes) -> set[bytes]:
-    return set(raw.decode().lower().encode().translate(_MARKS).split())
+def words_of(text: str) -> set[str]:
+    return set(text.lower().translate(_MARKS).split())
 
 
-def begins(words: set[bytes], n: int) -> set[bytes]:
-    """Beginnings of n characters of longer words, marked so that they differ from words."""
-    return {b"%d:%s" % (n, x[:n].encode()) for x in (w.decode() for w in words) if len(x) > n}
+def features(words: set[str]) -> set[str]:
+    """All that may become an entry: words, beginnings of longer words, and beginnings that two words or more share."""
+    out = set(words)
+    for n in BEGINNINGS:
+        times = Counter(w[:n] for w in words if len(w) > n)
+        out.update(f"{n}:{x}" for x in times)
+        out.update(f"2x{n}:{x}" for x, k in times.items() if k > 1)
+    return out
 
 
 @dataclass
 class Lexicon:
-    """Entries (words and beginnings) with their places, and what each voter says of a text."""
+    """Entries with their places, and what each voter says of a text."""
 
-    entries: dict[bytes, int] = field(default_factory=dict)
+    entries: dict[str, int] = field(default_factory=dict)
 
-    def found(self, raw: bytes) -> tuple[list[int], int]:
+    def __post_init__(self) -> None:
+        self.by = {n: ({x.partition(":")[2] for x in self.entries if x.startswith(f"{n}:")}, {x.partition(":")[2] for x in self.entries if x.startswith(f"2x{n}:")}) for n in BEGINNINGS}
+
+    def found(self, text: str) -> tuple[list[int], int]:
         """Places of the entries in a text, and the votes, three to each voter, as one number."""
-        words = words_of(raw)
-        hits = [w for w in words if w in self.entries]
+        words = words_of(text)
+        own = [w for w in words if w in self.entries]
+        hits, begun, several = [*own], [], False
         for n in BEGINNINGS:
-            hits += [b for b in begins(words, n) if b in self.entries]
+            one, two = self.by[n]
+            begins = {w[:n] for w in words if len(w) > n} if one or two else set()
+            begun.append(bool(begins & one))
+            hits += [f"{n}:{x}" for x in begins & one]
+            for x in begins & two:
+                if sum(w.startswith(x) and len(w) > n for w in words) > 1:
+                    several = True
+                    hits.append(f"2x{n}:{x}")
         insults = len(words & _INSULTS)
-        own = [sum(b":" not in w and zlib.crc32(w) % 2 == i for w in hits) for i in (0, 1)]
-        toxic = [insults > 0, insults > 1, _phrases.search(raw.lower()) is not None, *(n > 0 for n in own), *(any(b.startswith(b"%d:" % n) for b in hits) for n in BEGINNINGS)]
+        toxic = [insults > 0, insults > 1, _phrases.search(text.lower()) is not None, *(any(zlib.crc32(w.encode()) % 2 == i for w in own) for i in (0, 1)), *begun, several, len(own) > 1 or len(hits) > 3]
         votes = [*map(int, toxic), 0 if any(toxic) else 2]
         return [self.entries[w] for w in hits], sum(v * 3**i for i, v in enumerate(votes))
 
 
-_INSULTS = {x.encode() for x in INSULTS}
+_INSULTS = set(INSULTS)
 
 
 def held_out(key) -> F.Column:
     return F.coalesce(F.crc32(key.cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows with a label that may be learned from: MOST_LABELLED at most, chosen by a hash of the id."""
+def _labelled(docs: DataFrame, labels: DataFrame, mined: bool, what: str = "text") -> DataFrame:
+    """Rows with a label that may be learned from, for entries or for trust: MOST_LABELLED at most, chosen by a hash of the id."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "toxic").limit(MOST_LABELLED).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.where("doc_id is not null").where(~held_out(F.col("doc_id"))).join(F.broadcast(rows), "doc_id").select("doc_id", "text", "toxic")
+    part = F.crc32(F.col("doc_id").cast("string")) % FOLDS == MINED
+    rows = rows.where(part if mined else ~part).orderBy(F.xxhash64("doc_id"), "toxic").limit(MOST_LABELLED).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return docs.where("doc_id is not null").where(~held_out(F.col("doc_id"))).join(F.broadcast(rows), "doc_id").select("doc_id", what, "toxic")
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, float]:
@@ -82,36 +103,35 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, float]:
     Of the words and beginnings with enough lift, a greedy cover picks entries while they help rows that have fewer than
     COVER; words that only copies of one text share help no row that the true marks cover already.
     """
-    rows = _labelled(docs, labels)
+    rows = _labelled(docs, labels, True)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean, n = Counter(), Counter(), [0, 0]
         for batch in parts(batches):
-            for raw, label in zip(texts(batch), *columns(batch, "toxic"), strict=True):
-                words = words_of(raw)
+            for text, label in zip(*columns(batch, "text", "toxic"), strict=True):
                 n[label] += 1
-                (toxic if label else clean).update(words | set().union(*(begins(words, k) for k in BEGINNINGS)))
-        names = [*toxic, *(x for x in clean if x not in toxic), b""]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([*(toxic[x] for x in names[:-1]), n[1]], pa.int64()), pa.array([*(clean[x] for x in names[:-1]), n[0]], pa.int64())], ["entry", "toxic", "clean"])
+                (toxic if label else clean).update(features(words_of(text)))
+        names = [*toxic, *(x for x in clean if x not in toxic), ""]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*(toxic[x] for x in names[:-1]), n[1]], pa.int64()), pa.array([*(clean[x] for x in names[:-1]), n[0]], pa.int64())], ["entry", "toxic", "clean"])
 
-    counts = rows.where("toxic in (0, 1)").mapInArrow(count, "entry binary, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    some = counts.where(f"toxic >= {LEAST_ROWS} or entry = X''").where("entry = X'' or clean * 20 <= toxic").collect()  # of MOST_LABELLED rows at most
+    counts = rows.where("toxic in (0, 1)").mapInArrow(count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    some = counts.where(f"toxic >= {LEAST_ROWS} or entry = ''").where("entry = '' or clean * 20 <= toxic").collect()  # of MOST_LABELLED rows at most
     total = next((r for r in some if not r["entry"]), None)
     if not total or not total["toxic"] or not total["clean"]:
         return Lexicon(), 0.05
-    able = {bytes(r["entry"]) for r in some if r["entry"] and r["toxic"] / total["toxic"] >= LIFT * (r["clean"] + 0.5) / total["clean"]}
+    able = {r["entry"] for r in some if r["entry"] and r["toxic"] / total["toxic"] >= LIFT * (r["clean"] + 0.5) / total["clean"]}
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            sets = [words_of(raw) for raw in texts(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(able & (w | set().union(*(begins(w, k) for k in BEGINNINGS)))) for w in sets], pa.list_(pa.binary()))], ["found"])
+            found = [sorted(able & features(words_of(text))) for text in columns(batch, "text")[0]]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["found"])
 
-    having: dict[bytes, list[int]] = defaultdict(list)
-    for i, r in enumerate(rows.where("toxic = 1").select("text").distinct().mapInArrow(keep, "found array<binary>").collect()):
+    having: dict[str, list[int]] = defaultdict(list)
+    for i, r in enumerate(rows.where("toxic = 1").select("text").distinct().mapInArrow(keep, "found array<string>").collect()):
         for x in r["found"]:
-            having[bytes(x)].append(i)
+            having[x].append(i)
     need: dict[int, int] = defaultdict(lambda: COVER)
-    chosen: dict[bytes, int] = {}
+    chosen: dict[str, int] = {}
     least = max(2, HELPS * total["toxic"])
     gain = {x: len(r) for x, r in having.items()}
     while gain:
@@ -132,8 +152,9 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, float]:
     return Lexicon(chosen), total["toxic"] / (total["toxic"] + total["clean"])
 
 
-def label_model(patterns: dict[int, int], prior: float, rounds: int = 60) -> dict[int, float]:
-    """The probability of label 1 for each pattern of votes, from how often each pattern occurs (no labels but the prior).
+def label_model(patterns: dict[int, int], known: dict[tuple[int, int], int], prior: float, rounds: int = 60) -> dict[int, float]:
+    """The probability of label 1 for each pattern of votes, from how often each pattern occurs: in all rows, and
+    with each label in `known` (rows that gave no entries; they count TRUST times).
 
     Expectation and maximisation over each voter's chances of its three votes under either label. Voters that agree more
     than their accuracies explain (correlated given the label) share their weight.
@@ -143,10 +164,11 @@ def label_model(patterns: dict[int, int], prior: float, rounds: int = 60) -> dic
     votes = codes[:, None] // 3 ** np.arange(m) % 3
     n = np.asarray([patterns[c] for c in codes.tolist()], float)
     q = np.clip(np.where((votes[:, :-1] == 1).any(1), 0.6 + 0.05 * (votes == 1).sum(1), prior / 4), 0.001, 0.999)
+    known_n = np.asarray([[known.get((c, y), 0) for c in codes.tolist()] for y in (0, 1)], float) * TRUST
     weight, share = np.ones(m), max(prior, 1e-4)
     for step in range(rounds):
         chance = np.empty((2, m, 3))
-        for y, w in enumerate((n * (1 - q), n * q)):
+        for y, w in enumerate((n * (1 - q) + known_n[0], n * q + known_n[1])):
             for v in range(3):
                 chance[y, :, v] = ((votes == v) * w[:, None]).sum(0) + (0.5 if v != 2 or y == 0 else 0.05)
         chance /= chance.sum(2, keepdims=True)
@@ -204,33 +226,27 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([held.value.found(raw)[1] for raw in texts(batch)], pa.int64())], ["code"])
-
-    patterns = {r["code"]: r["n"] for r in docs.select("text").mapInArrow(vote, "code long").groupBy("code").agg(F.count("*").alias("n")).collect()}
-    if not patterns:
-        return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("posterior"))
-    posterior = label_model(patterns, prior)
-    total = sum(patterns.values())
-    chosen = docs.where("doc_id is not null").where(~held_out(F.col("doc_id"))).where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.9 * MOST_FITTED / total)))
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
-            found = [held.value.found(raw) for raw in texts(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.int64())], ["hits", "code"])
-
-    sample = [(r["hits"], r["code"], posterior.get(r["code"], prior)) for r in chosen.select("text").mapInArrow(features, "hits array<long>, code long").limit(MOST_FITTED).collect()]
-    if not sample:
-        sample = [([], c, q) for c, q in posterior.items()]
+            found = [held.value.found(text) for text in columns(batch, "text")[0]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.int64())], ["doc_id", "hits", "code"])
+
+    votes = stored(docs.mapInArrow(vote, "doc_id long, hits array<int>, code long").withColumn("held_out", held_out(F.col("doc_id"))), "votes")
+    patterns = {r["code"]: r["n"] for r in votes.groupBy("code").agg(F.count("*").alias("n")).collect()}
+    trusted = _labelled(votes, labels, False, "code")
+    known = {(r["code"], int(r["toxic"] > 0)): r["n"] for r in trusted.groupBy("code", "toxic").agg(F.count("*").alias("n")).collect()}
+    posterior = label_model(patterns, known, prior) if patterns else {}
+    part = int(1_000_000 * min(1.0, 0.9 * MOST_FITTED / max(1, sum(patterns.values()))))
+    chosen = votes.where("doc_id is not null and not held_out").where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < part)
+    sample = [(r["hits"], r["code"], posterior.get(r["code"], prior)) for r in chosen.select("hits", "code").limit(MOST_FITTED).collect()]
     width = len(lexicon.entries)
-    w, b = fit_linear(sample, width)
+    w, b = fit_linear(sample or [([], c, q) for c, q in posterior.items()], width)
     model = docs.sparkSession.sparkContext.broadcast((w, b, posterior, prior))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b, posterior, prior = model.value
         for batch in parts(batches):
-            found = [held.value.found(raw) for raw in texts(batch)]
-            z = [b + w[[*hits, *_vote_columns(code, width)]].sum() for hits, code in found]
+            hits, codes = columns(batch, "hits", "code")
+            z = [b + w[[*x, *_vote_columns(code, width)]].sum() for x, code in zip(hits, codes, strict=True)]
             p = 1 / (1 + np.exp(-np.clip(np.asarray(z, float), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.7).astype(np.int32)), pa.array([posterior.get(c, prior) for _, c in found], pa.float64())], ["doc_id", "held_out", "score", "predicted", "posterior"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(x)) for x in ("doc_id", "held_out")), pa.array(p), pa.array((p >= 0.7).astype(np.int32)), pa.array([posterior.get(c, prior) for c in codes], pa.float64())], ["doc_id", "held_out", "score", "predicted", "posterior"])
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int, posterior double")
+    return votes.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int, posterior double")
