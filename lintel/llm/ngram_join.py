@@ -76,10 +76,8 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, digest binary, shape long, prefix array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets are as similar as asked for; texts come by joins on the id."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    needed = stored(docs.join(ids, "doc_id", "left_semi"), "needed")
+def verified(pairs: DataFrame, needed: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose sets are as similar as asked for; texts (needed: doc_id, text) come by joins on the id."""
     both = pairs.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,8 +135,11 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, key: str =
     pivots = tokens.groupBy("token", "bin").agg(F.min(F.struct("i", "g", "n")).alias("p"), F.count("*").alias("times")).where("times > 1")
     pivots = pivots.select("token", "bin", F.col("p.i").alias("j"), F.col("p.g").alias("h"), F.col("p.n").alias("m"))
     stars = tokens.join(pivots, ["token", "bin"]).where("g <> h").where(_may_link(percent, "n", "m", "i", "j")).select(F.greatest("g", "h").alias("a"), F.least("g", "h").alias("b"))
+    # Texts move once, for all that may be compared; the ids grow with the data, so they are never broadcast.
+    ids = tokens.select("g", "shape", "n").distinct().join(reps.select("shape", "n", "doc_id"), ["shape", "n"]).select("doc_id").union(inside.select("a")).union(inside.select("b")).distinct()
+    needed = stored(docs.hint("merge").join(ids.hint("merge"), "doc_id", "left_semi"), "needed")
     tried = stored(inside.union(stars).distinct(), "tried")
-    links = stored(verified(tried, docs, k, percent), "links")
+    links = stored(verified(tried, needed, k, percent), "links")
     first = components(links)
 
     label = lambda df, c: df.join(first.select(F.col("node").alias(c), "component"), c, "left").withColumn("component", F.coalesce("component", c))
@@ -156,7 +157,7 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, key: str =
     split = spread.where("low <> high").select("g", "shape")
     within = split.join(mine, ["g", "shape"]).join(theirs.withColumnsRenamed({"h": "g", "other_shape": "shape"}), ["g", "shape"]).where("cx <> cy and x < y")
     left = across.select("x", "y").union(within.select("x", "y")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = verified(stored(left, "left"), docs, k, percent)
+    more = verified(stored(left, "left"), needed, k, percent)
     final = components(links.union(more))
 
     of_class = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.col("n").alias("size"), F.coalesce("component", "rep").alias("component"))
