@@ -230,8 +230,6 @@ def plan(counts: dict[int, int], size: int = SIZE) -> tuple[list[tuple[int, int,
                     loose[x] += n
         again = _packed(size, tight, loose)
         best = again if again.number() < best.number() else best
-    if (plain := _packed(size, [], {x: n for x, n in counts.items() if n})).number() < best.number():
-        best = plain
     runs, ranks, sequence = [], defaultdict(int), 0
     for n, held in best.all():
         offset = 0
