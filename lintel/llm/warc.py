@@ -19,6 +19,8 @@ from lintel.llm.words import columns, parts
 
 #: Compressed bytes after which a writer begins the next archive.
 ARCHIVE_BYTES = 16 << 20
+#: Compressed bytes that the reader takes at once.
+STEP = 1 << 14
 RECORDS = "path string, offset long, length long, kind string, reason string, record_id string, refers_to string, target string, payload_digest string, payload_bytes long, payload binary"
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"^WARC/1\.[01]\r?\n", re.M)
@@ -126,7 +128,12 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict]]:
         if data.startswith(_MAGIC, at):
             inflate = zlib.decompressobj(31)
             try:
-                plain = inflate.decompress(data[at:] if at else data)
+                # In steps: what follows the member must not be copied for each member.
+                some, fed = [], at
+                while not inflate.eof and fed < len(data):
+                    some.append(inflate.decompress(data[fed : fed + STEP]))
+                    fed += STEP
+                plain = b"".join(some)
                 if not inflate.eof:
                     raise zlib.error("the member is cut short")
                 if gap is not None and not _VERSION.search(plain):
@@ -137,7 +144,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict]]:
                 if gap is not None:
                     yield gap, at, {"kind": "gap", "reason": why}
                     gap = None
-                end = len(data) - len(inflate.unused_data)
+                end = min(fed, len(data)) - len(inflate.unused_data)
                 for _, _, found in _plain(plain):
                     yield at, end, found
                 at = end
