@@ -17,7 +17,7 @@ import lintel.operators.sqltext  # noqa: F401
 from lintel.functions.lexers import transformed
 from lintel.functions.patterns import glob_to_regex, required_literal, to_java
 from lintel.plans.rules import TYPES, ConfigError, Rule
-from lintel.schema import NO_LINE, NO_PATH, lines_of, ordered
+from lintel.schema import NO_LINE, NO_PATH, lines_array, lines_of, ordered
 
 
 def any_glob(globs: Iterable[str], path: str = "path") -> Column:
@@ -39,7 +39,7 @@ def in_scope(files: DataFrame, rule: Rule, tests: Sequence[str] = ()) -> DataFra
 
 
 def _plain(rule: Rule) -> bool:
-    return rule.type == "forbidden-pattern" and set(rule.params) <= {"pattern", "prefilter", "syntax"} and rule.preprocess == "raw" and not rule.production
+    return rule.type == "forbidden-pattern" and set(rule.params) <= {"pattern", "prefilter", "syntax"} and rule.preprocess == "raw" and not rule.production and not rule.generated
 
 
 def _fused(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -56,27 +56,46 @@ def _fused(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return hits.select("x.rule", "x.severity", "path", F.col("line_no").cast("int").alias("line"), "x.message")
 
 
+#: How a line of a leading comment block starts, in any of the languages.
+_COMMENT = r"^\s*(?://|#|--|/\*|\*|<!--|;|$)"
+
+
+def is_generated(markers: Sequence[str]) -> Column:
+    """A marker stands in the lines before the first one that is neither blank nor a comment. Lines are looked at only in
+    files that hold a marker at all."""
+    lines = lines_array(F.col("text"))
+    code = F.array_position(F.transform(lines, lambda x: ~x.rlike(_COMMENT)), True)
+    lead = F.when(code > 0, F.slice(lines, F.lit(1), F.greatest(code.cast("int") - 1, F.lit(0)))).otherwise(lines)
+    some = lambda x: functools.reduce(lambda a, b: a | b, [x.contains(m) for m in markers])
+    return some(F.col("text")) & F.exists(lead, some) if markers else F.lit(False)
+
+
 def in_scope_test(rule: Rule) -> Column:
     test = F.lit(True) if [*rule.include] == ["**"] else any_glob(rule.include)
     return test & ~any_glob(rule.exclude) if rule.exclude else test
 
 
-def evaluate(files: DataFrame, rules: Iterable[Rule], changed: DataFrame | None = None, tests: Sequence[str] = (), sort: bool = True) -> DataFrame:
+def evaluate(files: DataFrame, rules: Iterable[Rule], changed: DataFrame | None = None, tests: Sequence[str] = (), sort: bool = True, generated: Sequence[str] = ()) -> DataFrame:
     """Findings (rule, severity, path, line, message) of all rules.
 
     With changed (path), rules whose verdict a part of the files can give see only those; the others see all files.
+    Files with one of the `generated` markers in their leading comments are outside rules that don't ask for them.
     """
     rules = [*rules]
     if not rules:
         raise ConfigError("no rule is left to run")
-    part = files if changed is None else files.join(changed.select("path").distinct(), "path", "left_semi")
+    every = files
+    files = every.where(~is_generated(generated)) if generated else every
+    narrow = lambda x: x if changed is None else x.join(changed.select("path").distinct(), "path", "left_semi")
+    part = narrow(files)
     fused = [r for r in rules if _plain(r)]
     plans = [_fused(part, fused)] if len(fused) > 1 else []
     for r in rules:
         if len(fused) > 1 and r in fused:
             continue
         kind = TYPES[r.type]
-        scope = in_scope(files if r.whole else part, r, tests)
+        base = every if r.generated else files
+        scope = in_scope(base if r.whole else narrow(base), r, tests)
         if r.preprocess != "raw":
             scope = scope.withColumn("text", transformed(F.col("text"), r.preprocess))
         if kind.paths_only:
@@ -84,7 +103,7 @@ def evaluate(files: DataFrame, rules: Iterable[Rule], changed: DataFrame | None
         plans.append(kind.build(scope, r.params).select(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), "path", "line", "message"))
     for r in rules:
         if r.min_files is not None:
-            short = in_scope(files, r, tests).agg(F.count("*").alias("n")).where(F.col("n") < r.min_files)
+            short = in_scope(every if r.generated else files, r, tests).agg(F.count("*").alias("n")).where(F.col("n") < r.min_files)
             plans.append(short.select(F.lit(r.id).alias("rule"), F.lit("error").alias("severity"), F.lit(NO_PATH).alias("path"), F.lit(NO_LINE).alias("line"), F.concat(F.lit("scope has "), F.col("n").cast("string"), F.lit(f" file(s), least are {r.min_files}")).alias("message")))
     while len(plans) > 1:  # a tree, so that hundreds of rules don't make a deep plan
         plans = [plans[i].unionByName(plans[i + 1]) if i + 1 < len(plans) else plans[i] for i in range(0, len(plans), 2)]

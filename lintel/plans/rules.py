@@ -58,6 +58,8 @@ class Rule:
     cost: str | None = None
     cure: str = ""
     production: bool = False
+    #: Whether the rule also judges files that a generator wrote.
+    generated: bool = False
 
     def __post_init__(self) -> None:
         from lintel.functions.lexers import TRANSFORMS
@@ -88,7 +90,7 @@ class Rule:
 
 
 _FIELDS = {"id", "type", "params", "severity", "scope", "preprocess", "tags", "cost", "cure"}
-_SCOPE = {"include", "exclude", "min_files", "subject"}
+_SCOPE = {"include", "exclude", "min_files", "subject", "generated"}
 
 
 def decode(spec: Mapping[str, Any]) -> Rule:
@@ -101,6 +103,7 @@ def decode(spec: Mapping[str, Any]) -> Rule:
     return Rule(
         id=str(spec.get("id", "")), type=str(spec.get("type", "")), params=spec.get("params", {}) or {}, severity=spec.get("severity", "error"), include=tuple(scope.get("include", ("**",))), exclude=tuple(scope.get("exclude", ())),
         preprocess=spec.get("preprocess", "raw"), min_files=scope.get("min_files"), tags=tuple(spec.get("tags", ())), cost=spec.get("cost"), cure=spec.get("cure", ""), production=scope.get("subject") == "production",
+        generated=bool(scope.get("generated", False)),
     )
 
 

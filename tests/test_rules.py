@@ -151,3 +151,38 @@ def test_stream(spark, tmp_path):
     stream = files_of(spark.readStream.schema("path string, text string").parquet(str(tmp_path / "in")))
     watch(stream, [Rule("r", "forbidden-pattern", {"pattern": "TODO"})], lambda df, n: got.extend(df.collect()), str(tmp_path / "ck")).awaitTermination(60)
     assert [(r["rule"], r["path"], r["line"]) for r in got] == [("r", "a", 1)]
+
+
+@pytest.mark.parametrize(("sql", "params", "fires"), [
+    ("SELECT * FROM shop.items AS i JOIN shop.tags t ON t.item = i.id FOR UPDATE OF i;", {}, True),
+    ("SELECT * FROM shop.items AS i JOIN shop.tags t ON t.item = i.id FOR UPDATE OF t;", {}, False),
+    ("SELECT * FROM shop.items AS i, shop.tags t WHERE t.item = i.id FOR UPDATE NOWAIT;", {}, True),
+    ("SELECT * FROM shop.items FOR UPDATE OF items", {}, True),
+    ("SELECT * FROM shop.items i FOR KEY SHARE OF i", {}, False),
+    ("SELECT * FROM shop.items i FOR KEY SHARE OF i", {"strength": ["key-share"]}, True),
+    ("SELECT * FROM shop.items i FOR NO KEY UPDATE", {"strength": ["no-key-update"]}, True),
+    ("SELECT * FROM other.items i FOR UPDATE", {"schema": "^shop$"}, False),
+    ("SELECT * FROM items i FOR UPDATE", {"schema": "^shop$"}, True),
+    ("SELECT * FROM a WHERE x IN (SELECT id FROM items) FOR UPDATE", {}, False),
+    ("SELECT * FROM a WHERE x IN (SELECT id FROM items ORDER BY id FOR UPDATE)", {}, True),
+    ("WITH items AS (SELECT 1) SELECT * FROM items FOR UPDATE", {}, False),
+    ("-- SELECT * FROM items FOR UPDATE\nSELECT 'FROM items FOR UPDATE'", {}, False),
+])
+def test_locking_target(spark, sql, params, fires):
+    assert found(spark, [("q.sql", "\n" + sql)], "sql/locking-target", {"table": "^items$", "strength": ["update"], **params}) == ([("q.sql", sql.count("\n") + 2)] if fires else [])
+
+
+def test_locking_target_refuses(spark):
+    for bad in ({"table": "shop.items", "strength": ["update"]}, {"table": "items", "strength": []}, {"table": "items", "strength": ["all"]}):
+        with pytest.raises(ConfigError):
+            found(spark, [("q.sql", "")], "sql/locking-target", bad)
+
+
+def test_generated_files(spark):
+    files = [("made.go", "// by hand\n\n// Code generated by gen. DO NOT EDIT.\npackage x\nhit"), ("own.go", "package x\n// Code generated by gen. DO NOT EDIT.\nhit"), ("all", "# Code generated by gen. DO NOT EDIT."), ("text", 's = "Code generated by gen."\nhit')]
+    run = lambda *rules: [(r["rule"], r["path"]) for r in engine.evaluate(corpus.memory(spark, files), rules, generated=["Code generated by gen."]).collect()]
+    rule = lambda i, **more: Rule(i, "forbidden-pattern", {"pattern": "hit"}, **more)
+    assert run(rule("a")) == [("a", "own.go"), ("a", "text")]
+    assert run(rule("a"), rule("b"), rule("c", generated=True)) == [("a", "own.go"), ("a", "text"), ("b", "own.go"), ("b", "text"), ("c", "made.go"), ("c", "own.go"), ("c", "text")]
+    assert run(Rule("n", "required-pattern", {"pattern": "hit"})) == [] and run(Rule("n", "required-pattern", {"pattern": "hit"}, generated=True)) == [("n", "all")]
+    assert decode({"id": "a", "type": "forbidden-pattern", "params": {"pattern": "x"}, "scope": {"generated": True}}).generated
