@@ -102,6 +102,7 @@ def _cases() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], list[R
             select 'listed' "rule", 'error' severity, '' path, 0 line, message from (select 'not in the baseline: ' || v message from v where v not in (from k) union all select 'in the baseline only: ' || v from k where v not in (from v))"""),
         "f5_min_files": (documents, [_rule("floor", "file-naming", {"forbid_ext": [".md"]}, include=("src3/fr/**",), min_files=100000)], _sql("floor", f"(select count(*) n from {files} where path like 'src3/fr/%') where n < 100000", "concat('scope has ', n, ' file(s), least are 100000')", path="''", line="0")),
         "r28_statement_predicate": (documents, [_rule("statements", "sql/statement-predicate", {"table": r"(?i)\bwith\b", "require": [r"(?i)\bthat\b"], "forbid": [r"\bseldom\b"]})], None),
+        "r27_locking_target": (documents, [_rule("locks", "sql/locking-target", {"table": "^orders$", "strength": ["update"]})], None),
         "t_decomment_sh": (documents, [_rule("code", "forbidden-pattern", {"pattern": r"###"}, preprocess="decomment-sh")], None),
     }
     t = "(select concat(conv_id, '/', lpad(turn::varchar, 4, '0'), '-', role) path, conv_id::varchar dir, case when regexp_replace(coalesce(text, ''), '\\n$', '') = '' then [] else string_split(regexp_replace(text, '\\n$', ''), chr(10)) end ls from conversations)"
@@ -139,9 +140,23 @@ def changeset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.evaluate(files, rules, files.where("path like 'src4/%'").select("path"))
 
 
+#: Stands for a generator's header: each document gets its source as a leading comment, and some sources are generators.
+_HEADER = "from src1"
+
+
+def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files with a header in their leading comments are outside one rule and inside the other."""
+    headed = F.concat(F.lit("# from "), "source", F.lit("\n"), F.coalesce("text", F.lit("")))
+    files = documents(spark, sf_dir).select("path", "text").withColumn("source", F.split_part("path", F.lit("/"), F.lit(1)))
+    files = files_of(files, "path", headed)
+    params = {"pattern": _MAIL}
+    rules = [_rule("no-mail", "forbidden-pattern", params), _rule("no-mail-at-all", "forbidden-pattern", params, generated=True)]
+    return engine.evaluate(files, rules, generated=[_HEADER])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: functools.partial(_run, files, rules) for name, (files, rules, _) in _cases().items()}
-    return found | {"o5_scope_class": scope_class, "k_verdicts": verdicts, "s8_changeset": changeset}
+    return found | {"o5_scope_class": scope_class, "k_verdicts": verdicts, "s8_changeset": changeset, "f3_generated": generated}
 
 
 def oracles() -> dict[str, str]:
@@ -151,6 +166,11 @@ def oracles() -> dict[str, str]:
     found["k_verdicts"] = f"select r \"rule\", count(f.path) n_findings, count(f.path) = 0 passed from (select unnest(['no-secrets', 'no-mail', 'no-hosts']) r) left join ({fused}) f on f.\"rule\" = r group by r"
     mail = _sql("no-mail", f"({_LINES}) where regexp_matches(line, {_text(_MAIL)}) and path like 'src4/%'", _text(f"matches forbidden pattern {_MAIL}"))
     found["s8_changeset"] = f"{mail} union all {found['r3_pattern_count']}"
+    lists, lines = (x.replace("coalesce(text, '')", "'# from ' || source || chr(10) || coalesce(text, '')") for x in (_LISTS, _LINES))
+    lead = f"(select path, ls, list_position(list_transform(ls, lambda x: not regexp_matches(x, '^\\s*(//|#|--|/\\*|\\*|<!--|;|$)')), true) p from ({lists}))"
+    made = f"select path from {lead} where len(list_filter(case when coalesce(p, 0) = 0 then ls else ls[1:p - 1] end, lambda x: contains(x, '{_HEADER}'))) > 0"
+    hit = _text(f"matches forbidden pattern {_MAIL}")
+    found["f3_generated"] = " union all ".join(_sql(i, f"({lines}) where regexp_matches(line, {_text(_MAIL)}) {more}", hit) for i, more in (("no-mail", f"and path not in ({made})"), ("no-mail-at-all", "")))
     return found
 
 
