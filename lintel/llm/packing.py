@@ -25,7 +25,7 @@ SIZE = 2048
 #: Token id that ends each document.
 END = 0
 #: Lengths over SIZE / LARGE_FROM are large; groups of large pieces with equal numbers of pieces.
-LARGE_FROM, GROUPS = 8, 24
+LARGE_FROM, GROUPS = 3, 256
 #: Chunks of text whose ids a worker keeps.
 CACHED_CHUNKS = 600_000
 _STRANGE = re.compile("[\x1c-\x1f]|<\\|")
