@@ -49,6 +49,14 @@ def _text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+def _owned(id: str, home: str, places: str, name: str, pattern: str, guarded: bool) -> str:
+    """A text is one declaration: one home in it blanks it whole."""
+    hits = f"({_LINES}) where regexp_matches(line, {_text(pattern)}) and path not in (select path from ({_LINES}) where {home})"
+    hits = f"(select path, min(line_no) line_no from {hits} group by path)" if guarded else hits
+    count = f"(select sum({places})::bigint n from ({_LINES})) where n > 0 and n <> 3"
+    return _sql(id, hits, _text(f"matches forbidden pattern {pattern}")) + " union all " + _sql(id, count, f"concat({_text(name)}, ' has ', n, ' holder(s), want 3')", path="''", line="0")
+
+
 _SECRET = r"(?i)\b(token|secret|password|api_key)\s*=\s*\"?[0-9a-z_\-]{8,}"
 _MAIL = r"[\w.+\-]+@[\w\-]+\.[a-z]{2,}"
 _IP = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
@@ -80,6 +88,8 @@ def _cases() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], list[R
             where t and u and v and own) group by path)""", _text("holds all of that, with, this"))),
         "r1e_require_present": (documents, [_rule("guarded", "forbidden-pattern", {"pattern": _IP, "require_present": [_MAIL]})], _sql("guarded", f"(select path, min(line_no) line_no from {lines} where regexp_matches(line, {_text(_IP)}) and path in (select path from {files} where regexp_matches(text, {_text(_MAIL)})) group by path)", forbidden(_IP))),
         "r1f_evidence": (documents, [_rule("unproven", "forbidden-pattern", {"pattern": r"\bbut\b|\bwas\b", "evidence": {"pattern": r"\bwith\b", "within": 1}})], _sql("unproven", f"(select path, min(line_no) line_no from {lines} l where regexp_matches(line, '\\bbut\\b|\\bwas\\b') and not exists (select 1 from {lines} e where e.path = l.path and abs(e.line_no - l.line_no) <= 1 and regexp_matches(e.line, '\\bwith\\b')) group by path)", forbidden(r"\bbut\b|\bwas\b"))),
+        "r1g_credential": (documents, [_rule("owned", "forbidden-pattern", {"pattern": r"\bwas\b", "require_absent": [{"credential": "^[A-D]", "holders": 3}]})], _owned("owned", "regexp_matches(line, '^[A-D]')", "case when regexp_matches(line, '^[A-D]') then 1 else 0 end", "^[A-D]", r"\bwas\b", True)),
+        "f4_not_declaring": (documents, [_rule("homes", "forbidden-pattern", {"pattern": r"\bwas\b"}, not_declaring=(("copyright", 3),))], _owned("homes", "contains(line, 'copyright')", "(length(line) - length(replace(line, 'copyright', ''))) // 9", "copyright", r"\bwas\b", False)),
         "r1h_denied_by": (documents, [_rule("denied", "forbidden-pattern", {"pattern": r"\bthe\b", "denied_by": ["of", "in"]})], _sql("denied", rf"{lines} where regexp_matches(line, '\bthe\b') and not regexp_matches(substr(line, 1, length(regexp_extract(line, '^(.*?)\bthe\b', 1))), '(?i)\b(?:of|in)[ \t]+(?:[0-9A-Za-z_]{{1,12}}[ \t]+)?$')", forbidden(r"\bthe\b"))),
         "r2a_required_every_file": (documents, [_rule("needs-stop", "required-pattern", {"pattern": r"\.$", "when": ["(?i)the"]})], _sql("needs-stop", rf"{lists} where regexp_matches(text, '(?i)the') and len(list_filter(ls, lambda x: regexp_matches(x, '\.$'))) = 0", _text(r"lacks required pattern \.$"), line="0")),
         "r2b_required_exists": (documents, [_rule("needs-one", "required-pattern", {"pattern": "no such text anywhere", "mode": "exists"})], _sql("needs-one", f"(select 1 where (select count(*) from {lines} where regexp_matches(line, 'no such text anywhere')) = 0)", _text("no file matches required pattern no such text anywhere"), path="''", line="0")),

@@ -21,6 +21,7 @@ def java(params: Mapping[str, Any], pattern: str) -> str:
 
 
 def _list(x: Any) -> list:
+    """A value, or a list of them, as a list."""
     return [] if x is None else list(x) if isinstance(x, (list, tuple)) else [x]
 
 
@@ -35,42 +36,86 @@ def gated(files: DataFrame, params: Mapping[str, Any], pattern: str) -> DataFram
     return files.where(F.col("text").contains(literal)) if literal else files
 
 
-@rule_type("forbidden-pattern", "", "pattern multiline all_of none_of window require_present require_absent evidence denied_by prefilter syntax")
+@rule_type("forbidden-pattern", "", "pattern multiline all_of none_of window require_present require_absent evidence denied_by prefilter syntax census")
 def forbidden(files: DataFrame, params: Mapping[str, Any]) -> DataFrame:
     """A finding for each line that matches; or one for a text (multiline, all_of, all_of within a window of lines).
 
     require_present: only texts that match all of these. evidence {pattern, within}: a match counts only without evidence
-    so many lines around. denied_by: markers that, right before a match, deny it. With require_present or evidence only
-    the first finding of a file stays.
+    so many lines around. require_absent (none_of with all_of): evidence likewise, or credentials, whose declarations the
+    engine has blanked. denied_by: markers that, right before a match, deny it. With any of these guards only the first
+    finding of a file stays. census: a program decides.
     """
-    if ("pattern" in params) == ("all_of" in params):
-        raise ConfigError("either pattern or all_of")
+    if sum(x in params for x in ("pattern", "all_of", "census")) != 1:
+        raise ConfigError("one of pattern, all_of and census")
+    if "census" in params:
+        return _census(files, params)
     for guard in _list(params.get("require_present")):
         files = files.where(F.col("text").rlike(java(params, guard)))
+    evidence = _evidence(params)
     if "all_of" in params:
-        return _all_of(files, params)
+        return _unproven(files, _all_of(files, params), params, evidence)
     pattern, regex = params["pattern"], java(params, params["pattern"])
     message = f"matches forbidden pattern {pattern}"
     files = gated(files, params, pattern)
     if params.get("multiline"):
         hit = files.withColumn("at", F.regexp_instr("text", F.lit(regex))).where(F.col("text").rlike(regex))
-        return hit.select(*finding(message, line_at(F.col("text"), F.greatest("at", F.lit(1)))))
-    if not params.get("evidence"):
-        hits = lines_of(files).where(F.col("line").rlike(regex))
-        hits = hits.where(~_denied(params, regex)) if params.get("denied_by") else hits
-    else:
-        near, within = java(params, params["evidence"]["pattern"]), int(params["evidence"].get("within", 0))
-        if not 0 <= within <= 100:
-            raise ConfigError("within is 0 to 100")
+        return _unproven(files, hit.select(*finding(message, line_at(F.col("text"), F.greatest("at", F.lit(1))))), params, evidence)
+    hits = lines_of(files)
+    for i, (proof, within) in enumerate(evidence):
         window = Window.partitionBy("path").orderBy("line_no").rangeBetween(-within, within)
-        marked = lines_of(files).select("path", "line_no", "line", F.max(F.col("line").rlike(near).cast("int")).over(window).alias("near"))
-        hits = marked.where(F.col("line").rlike(regex) & (F.col("near") == 0))
-        hits = hits.where(~_denied(params, regex)) if params.get("denied_by") else hits
-    if params.get("require_present") or params.get("evidence"):
+        hits = hits.withColumn(f"near{i}", F.max(F.col("line").rlike(java(params, proof)).cast("int")).over(window))
+    hits = hits.where(F.col("line").rlike(regex))
+    for i in range(len(evidence)):
+        hits = hits.where(F.col(f"near{i}") == 0)
+    hits = hits.where(~_denied(params, regex)) if params.get("denied_by") else hits
+    if params.get("require_present") or params.get("require_absent") or evidence:
         hits = hits.groupBy("path").agg(F.min("line_no").alias("line_no"))
     return hits.select(*finding(message))
 
 
+def _evidence(params: Mapping[str, Any]) -> list[tuple[str, int]]:
+    """(pattern, lines around). Entries of require_absent and none_of are {evidence, within} or {credential, holders}; the
+    engine has blanked what credentials open."""
+    found = [(x["pattern"], x.get("within", 0)) for x in _list(params.get("evidence"))]
+    for key in ("require_absent", "none_of"):
+        for x in _list(params.get(key)):
+            if isinstance(x, Mapping) and set(x) <= {"evidence", "within"} and "evidence" in x:
+                found.append((x["evidence"], x.get("within", 0)))
+            elif key == "require_absent" and not (isinstance(x, Mapping) and set(x) == {"credential", "holders"}):
+                raise ConfigError(f"{key} takes {{evidence, within}} and {{credential, holders}}")
+    if bad := [n for _, n in found if not isinstance(n, int) or not 0 <= n <= 100]:
+        raise ConfigError(f"within is 0 to 100, not {bad[0]}")
+    return found
+
+
+def _unproven(files: DataFrame, hits: DataFrame, params: Mapping[str, Any], evidence: list[tuple[str, int]]) -> DataFrame:
+    """Findings (at most one a file) without evidence around their line; of all_of without a window, around the line where
+    the first pattern first matches."""
+    if not evidence:
+        return hits
+    rows = files.select("path", F.col("text"), _lines().alias("ls")).join(hits, "path")
+    if "all_of" in params and "window" not in params:
+        rows = rows.withColumn("at", line_at(F.col("text"), F.greatest(F.regexp_instr("text", F.lit(java(params, params["all_of"][0]))), F.lit(1))))
+    else:
+        rows = rows.withColumn("at", F.col("line"))
+    for proof, within in evidence:
+        first = F.greatest(F.lit(1), F.col("at") - within)
+        rows = rows.where(~F.exists(F.slice("ls", first, F.col("at") + within - first + 1), lambda x: x.rlike(java(params, proof))))
+    return rows.select("path", "line", "message")
+
+
+def _census(files: DataFrame, params: Mapping[str, Any]) -> DataFrame:
+    """The verdict of a program (the params of a command, but for cost); nothing else goes with it."""
+    from lintel.operators.external import command
+
+    if more := set(params) - {"census"}:
+        raise ConfigError(f"census doesn't go with {', '.join(sorted(more))}")
+    census = params["census"]
+    if unknown := set(census) - {"cmd", "root", "allow", "expect", "output", "when"}:
+        raise ConfigError(f"census: unknown {', '.join(sorted(unknown))}")
+    return command(files, {"allow": False, "root": ".", **census})
+
+
 def _denied(params: Mapping[str, Any], regex: str) -> Column:
     """One of the markers, and a word of 12 characters at most, stand right before the first match."""
     markers = "|".join(re.escape(x) for x in _list(params["denied_by"]))
@@ -84,7 +129,7 @@ def _all_of(files: DataFrame, params: Mapping[str, Any]) -> DataFrame:
     for p in params["all_of"]:
         files = gated(files, {}, p)
     files = files.where(functools.reduce(operator.and_, (F.col("text").rlike(p) for p in patterns)))
-    for p in _list(params.get("none_of")):
+    for p in (x for x in _list(params.get("none_of")) if isinstance(x, str)):
         files = files.where(~F.col("text").rlike(java(params, p)))
     if "window" not in params:
         return files.select(*finding(message, 1))

@@ -14,6 +14,7 @@ import lintel.operators.measures  # noqa: F401
 import lintel.operators.patterns  # noqa: F401
 import lintel.operators.relations  # noqa: F401
 import lintel.operators.sqltext  # noqa: F401
+from lintel.functions.declarations import homes_of, marked_lines, masked
 from lintel.functions.lexers import transformed
 from lintel.functions.patterns import glob_to_regex, required_literal, to_java
 from lintel.plans.rules import TYPES, ConfigError, Rule
@@ -39,7 +40,7 @@ def in_scope(files: DataFrame, rule: Rule, tests: Sequence[str] = ()) -> DataFra
 
 
 def _plain(rule: Rule) -> bool:
-    return rule.type == "forbidden-pattern" and set(rule.params) <= {"pattern", "prefilter", "syntax"} and rule.preprocess == "raw" and not rule.production and not rule.generated
+    return rule.type == "forbidden-pattern" and set(rule.params) <= {"pattern", "prefilter", "syntax"} and rule.preprocess == "raw" and not rule.production and not rule.generated and not rule.not_declaring
 
 
 def _fused(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -70,6 +71,29 @@ def is_generated(markers: Sequence[str]) -> Column:
     return some(F.col("text")) & F.exists(lead, some) if markers else F.lit(False)
 
 
+def _homes(rule: Rule) -> tuple[list[str], list[str]]:
+    """Markers, and credentials as JVM patterns."""
+    return [m for m, _ in rule.not_declaring], [to_java(p, rule.params.get("syntax") == "regexp2") for p, _ in rule.credentials]
+
+
+def with_homes(scope: DataFrame, rule: Rule) -> DataFrame:
+    """Files with the declarations (as written, before any transform) that are homes of the rule, as `homes`."""
+    opened = scope.withColumn("opened", marked_lines(F.col("text"), lines_array(F.col("text")), *_homes(rule)))
+    return opened.withColumn("homes", homes_of(F.col("path"), F.col("text"), F.col("opened"))).drop("opened")
+
+
+def miscounted(scope: DataFrame, rule: Rule) -> DataFrame:
+    """A finding for each marker or credential that other than its number of places hold. None at all is no finding."""
+    markers, patterns = _homes(rule)
+    places = [((F.length("text") - F.length(F.replace("text", F.lit(m), F.lit("")))) / len(m)).cast("long") for m in markers]
+    matching = lambda p: F.size(F.filter(lines_array(F.col("text")), lambda x: x.rlike(p)))
+    places += [matching(p) for p in patterns]
+    names = [*rule.not_declaring, *rule.credentials]
+    rows = scope.agg(*(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(f"n{i}") for i, n in enumerate(places)))
+    rows = rows.select(F.explode(F.array(*(F.struct(F.lit(x).alias("name"), F.lit(h).cast("long").alias("want"), F.col(f"n{i}").alias("got")) for i, (x, h) in enumerate(names)))).alias("x")).select("x.*")
+    return rows.where("got > 0 and got <> want").select(F.lit(NO_PATH).alias("path"), F.lit(NO_LINE).alias("line"), F.format_string("%s has %d holder(s), want %d", "name", "got", "want").alias("message"))
+
+
 def in_scope_test(rule: Rule) -> Column:
     test = F.lit(True) if [*rule.include] == ["**"] else any_glob(rule.include)
     return test & ~any_glob(rule.exclude) if rule.exclude else test
@@ -96,8 +120,15 @@ def evaluate(files: DataFrame, rules: Iterable[Rule], changed: DataFrame | None
         kind = TYPES[r.type]
         base = every if r.generated else files
         scope = in_scope(base if r.whole else narrow(base), r, tests)
+        home = bool(r.not_declaring or r.credentials)
+        if home:
+            wrong = miscounted(scope, r)
+            plans.append(wrong.select(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), "path", "line", "message"))
+            scope = with_homes(scope, r)
         if r.preprocess != "raw":
             scope = scope.withColumn("text", transformed(F.col("text"), r.preprocess))
+        if home:
+            scope = scope.withColumn("text", masked(F.col("text"), F.col("homes"))).drop("homes")
         if kind.paths_only:
             scope = scope.select("path", "dir", "ext")
         plans.append(kind.build(scope, r.params).select(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), "path", "line", "message"))

@@ -60,6 +60,8 @@ class Rule:
     production: bool = False
     #: Whether the rule also judges files that a generator wrote.
     generated: bool = False
+    #: (marker, holders): declarations that a marker opens are blanked; so many places of the scope hold it.
+    not_declaring: tuple[tuple[str, int], ...] = ()
 
     def __post_init__(self) -> None:
         from lintel.functions.lexers import TRANSFORMS
@@ -80,17 +82,29 @@ class Rule:
         if unknown := set(self.params) - kind.required - kind.optional:
             raise ConfigError(f"{self.id}: unknown {', '.join(sorted(unknown))}")
 
+        for what, holders in (*self.not_declaring, *self.credentials):
+            if not what or not isinstance(holders, int) or holders < 1:
+                raise ConfigError(f"{self.id}: {what!r} needs the number of its holders, at least 1")
+        if odd := [x for x, _ in self.credentials if not re.match(r"(?:\(\?[a-zA-Z]+\))?\^", x)]:
+            raise ConfigError(f"{self.id}: a credential starts with ^, unlike {odd[0]!r}")
+
+    @property
+    def credentials(self) -> list[tuple[str, int]]:
+        """(pattern, holders): lines that open a declaration which may do what the rule forbids."""
+        entries = [x for key in ("require_absent", "none_of") for x in self.params.get(key) or [] if isinstance(x, Mapping)]
+        return [(x["credential"], x.get("holders")) for x in entries if "credential" in x]
+
     @property
     def cost_class(self) -> str:
         return self.cost or TYPES[self.type].cost
 
     @property
     def whole(self) -> bool:
-        return TYPES[self.type].whole(self.params)
+        return bool(self.not_declaring or self.credentials) or TYPES[self.type].whole(self.params)
 
 
 _FIELDS = {"id", "type", "params", "severity", "scope", "preprocess", "tags", "cost", "cure"}
-_SCOPE = {"include", "exclude", "min_files", "subject", "generated"}
+_SCOPE = {"include", "exclude", "min_files", "subject", "generated", "not_declaring"}
 
 
 def decode(spec: Mapping[str, Any]) -> Rule:
@@ -103,10 +117,16 @@ def decode(spec: Mapping[str, Any]) -> Rule:
     return Rule(
         id=str(spec.get("id", "")), type=str(spec.get("type", "")), params=spec.get("params", {}) or {}, severity=spec.get("severity", "error"), include=tuple(scope.get("include", ("**",))), exclude=tuple(scope.get("exclude", ())),
         preprocess=spec.get("preprocess", "raw"), min_files=scope.get("min_files"), tags=tuple(spec.get("tags", ())), cost=spec.get("cost"), cure=spec.get("cure", ""), production=scope.get("subject") == "production",
-        generated=bool(scope.get("generated", False)),
+        generated=bool(scope.get("generated", False)), not_declaring=tuple(_holder(x, spec.get("id")) for x in scope.get("not_declaring", ())),
     )
 
 
+def _holder(entry: Any, id: Any) -> tuple[str, int]:
+    if not isinstance(entry, Mapping) or set(entry) != {"marker", "holders"}:
+        raise ConfigError(f"{id}: not_declaring takes {{marker, holders}}")
+    return entry["marker"], entry["holders"]
+
+
 def load(text: str, packs: Iterable[str] = ()) -> list[Rule]:
     """Rules of a YAML text ({rules: [...]}); packs come first, and a local rule replaces one with its id."""
     import yaml

@@ -186,3 +186,44 @@ def test_generated_files(spark):
     assert run(rule("a"), rule("b"), rule("c", generated=True)) == [("a", "own.go"), ("a", "text"), ("b", "own.go"), ("b", "text"), ("c", "made.go"), ("c", "own.go"), ("c", "text")]
     assert run(Rule("n", "required-pattern", {"pattern": "hit"})) == [] and run(Rule("n", "required-pattern", {"pattern": "hit"}, generated=True)) == [("n", "all")]
     assert decode({"id": "a", "type": "forbidden-pattern", "params": {"pattern": "x"}, "scope": {"generated": True}}).generated
+
+
+HOMES = 'package p\n\nimport "fmt"\n\nconst (\n\tA = "x"\n)\n\n// home\nfunc F(a int) (b int) {\n\tfmt.Println("}", `\n}`)\n\treturn q\n}\n\nvar q = 1 +\n\t2\nvar z, q2 = 1, q\n'
+
+
+def test_declarations():
+    from lintel.functions.declarations import Declarations, homes
+
+    go = Declarations("a.go", HOMES)
+    assert [go.extent(n) for n in (1, 5, 9, 10, 16, 18, 99)] == [(1, 18), (5, 7), (9, 9), (10, 14), (16, 17), (18, 18), (99, 99)]
+    assert go.imports() == [(3, 3)]
+    assert homes("a.go", HOMES, [10]) == [(3, 3), (10, 14)] and homes("a.go", HOMES, []) == []
+    dart = Declarations("a.dart", "import 'x';\n\nclass A {\n  String s = '}';\n}\nfinal b = f({\n  'x': 1\n});\n")
+    assert [dart.extent(n) for n in (3, 6)] == [(3, 5), (6, 8)] and dart.imports() == [(1, 1)]
+    assert Declarations("a.proto", "message M {\n  // }\n  int32 x = 1;\n}\n").extent(1) == (1, 4)
+    assert Declarations("a.md", "x\ny").extent(2) == (1, 2) and Declarations("a.go", "").extent(1) == (1, 1)
+
+
+def test_homes(spark):
+    files = [("a.go", HOMES), ("b.go", "package b\n\nvar q = 2\n"), ("c.md", "no home\nq\n"), ("d.go", "")]
+    credential = lambda n: {"pattern": r"\bq\b", "require_absent": [{"credential": r"^func F\b", "holders": n}]}
+    assert found(spark, files, "forbidden-pattern", credential(1)) == [("a.go", 16), ("b.go", 3), ("c.md", 2)]
+    assert found(spark, files, "forbidden-pattern", credential(2)) == [("", 0), ("a.go", 16), ("b.go", 3), ("c.md", 2)]
+    assert found(spark, files[1:], "forbidden-pattern", credential(2)) == [("b.go", 3), ("c.md", 2)]
+    marked = {"not_declaring": (("func F", 1), ("no home", 1))}
+    assert found(spark, files, "forbidden-pattern", {"pattern": r"\bq\b"}, **marked) == [("a.go", 16), ("a.go", 18), ("b.go", 3)]
+    assert found(spark, files, "pattern-count", {"pattern": r"\bq\b", "op": "exactly", "n": 3}, preprocess="decomment-go", **marked) == []
+    proof = {"pattern": r"\bq\b", "require_absent": [{"evidence": r"\+$", "within": 2}]}
+    assert found(spark, files, "forbidden-pattern", proof) == [("a.go", 13), ("b.go", 3), ("c.md", 2)]
+    both = {"all_of": ["package", r"\bq\b"], "none_of": [{"evidence": "import", "within": 2}]}
+    assert found(spark, files, "forbidden-pattern", both) == [("b.go", 1)]
+    for bad in ([{"credential": "func", "holders": 1}], [{"credential": "^f", "holders": 0}]):
+        with pytest.raises(ConfigError):
+            Rule("r", "forbidden-pattern", {"pattern": "q", "require_absent": bad})
+    with pytest.raises(ConfigError):
+        found(spark, files, "forbidden-pattern", {"pattern": "q", "require_absent": ["x"]})
+    with pytest.raises(ConfigError):
+        decode({"id": "r", "type": "forbidden-pattern", "params": {"pattern": "q"}, "scope": {"not_declaring": ["x"]}})
+    assert decode({"id": "r", "type": "forbidden-pattern", "params": {"pattern": "q"}, "scope": {"not_declaring": [{"marker": "x", "holders": 2}]}}).whole
+    census = {"census": {"cmd": ["sh", "-c", "echo c.md:2: bad"], "allow": True, "output": "findings-v1"}}
+    assert found(spark, files, "forbidden-pattern", census) == [("c.md", 2)]
