@@ -87,6 +87,21 @@ def calls(code: str, start: int, end: int) -> list[tuple[str, int, int, bool]]:
     return out
 
 
+_IMPORT = re.compile(r'(?m)^[ \t]*(?:import[ \t]+)?(?:([A-Za-z_]\w*|\.)[ \t]+)?"([^"\n]+)"[ \t]*(?:;|//|$)')
+
+
+def imported(text: str) -> dict[str, str]:
+    """Names under which a Go file imports packages, where they differ from the last part of the path."""
+    code = blanked(text, "go")
+    found = {}
+    for block in re.finditer(r"(?m)^[ \t]*import\b[ \t]*(\([^)]*\)|[^\n]*)", code):
+        for m in _IMPORT.finditer(text, block.start(), block.end()):
+            base = m[2].rpartition("/")[2]
+            if m[1] and m[1] not in (".", "_", base):
+                found[m[1]] = base
+    return found
+
+
 def _rows(files: DataFrame, schema: str, each: Callable[[str, str], list[tuple]]) -> DataFrame:
     names = [x.split()[0] for x in re.sub(r"<[^>]*>+", "", schema).split(",")]
 
@@ -102,7 +117,9 @@ def functions_of(files: DataFrame) -> DataFrame:
     def each(path: str, text: str) -> list[tuple]:
         language = language_of(path)
         code = blanked(text, language)
-        return [(name, text.count("\n", 0, start) + 1, text.count("\n", brace, close), [{"selector": s, "line": n, "pos": p, "used": u} for s, n, p, u in calls(code, brace + 1, close)]) for name, start, brace, close in functions(text, language)]
+        names = imported(text) if language == "go" else {}
+        full = lambda s: names.get(s.split(".")[0], s.split(".")[0]) + s[s.find(".") :] if "." in s else s
+        return [(name, text.count("\n", 0, start) + 1, text.count("\n", brace, close), [{"selector": full(s), "line": n, "pos": p, "used": u} for s, n, p, u in calls(code, brace + 1, close)]) for name, start, brace, close in functions(text, language)]
 
     return _rows(files, FUNCTIONS, each)
 

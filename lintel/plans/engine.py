@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import lintel.operators.code  # noqa: F401
 import lintel.operators.external  # noqa: F401
+import lintel.operators.flows  # noqa: F401
 import lintel.operators.measures  # noqa: F401
 import lintel.operators.patterns  # noqa: F401
 import lintel.operators.relations  # noqa: F401

@@ -227,3 +227,49 @@ def test_homes(spark):
     assert decode({"id": "r", "type": "forbidden-pattern", "params": {"pattern": "q"}, "scope": {"not_declaring": [{"marker": "x", "holders": 2}]}}).whole
     census = {"census": {"cmd": ["sh", "-c", "echo c.md:2: bad"], "allow": True, "output": "findings-v1"}}
     assert found(spark, files, "forbidden-pattern", census) == [("c.md", 2)]
+
+
+DART = """class A {
+  bool get _ready => name.text.isNotEmpty && _more;
+  bool get _more { return _ready || age.text == '1'; }
+  build() => Column(children: [
+    TextFormField(keyboardType: TextInputType.numberWithOptions(decimal: true), validator: rule.of(f(1))?.check),
+    TextFormField(keyboardType: TextInputType.number, hint: 'validator: x'),
+    w.Field<int>(
+      keyboardType: TextInputType.number, // validator: x
+      validator: (v) => null),
+    Field(keyboardType: TextInputType.text),
+    Other(keyboardType: TextInputType.number, validator: null),
+    ListenableBuilder(listenable: Listenable.merge([name, w.other]), builder: (c, _) => Button(on: _ready, x: w.other.text, s: Style.text)),
+    ListenableBuilder(listenable: age, builder: (c, _) => T(age.text, age.textStyle)),
+    ListenableBuilder(builder: (c, _) => T(name.text)),
+  ]);
+}
+"""
+
+
+def test_dart_arguments(spark):
+    files = [("a.dart", DART), ("a.go", DART), ("e.dart", "")]
+    assert found(spark, files, "dart/numeric-field-validated", {"numeric_value": r"TextInputType\.number"}) == [("a.dart", 6), ("a.dart", 7), ("a.dart", 11)]
+    assert found(spark, files, "dart/numeric-field-validated", {"numeric_value": r"TextInputType\.number", "validator_source": "^server"}) == [("a.dart", 5), ("a.dart", 6), ("a.dart", 7), ("a.dart", 11)]
+    gate = {"builders": ["ListenableBuilder"], "listen_args": ["animation", "listenable"], "builder_arg": "builder", "read_suffixes": [".text"]}
+    rows = engine.evaluate(corpus.memory(spark, files), [Rule("r", "dart/gate-reads-are-listened", gate)]).collect()
+    assert [(r["line"], r["message"]) for r in rows] == [(12, "ListenableBuilder reads age, which animation doesn't hold")]
+    assert found(spark, files, "dart/gate-reads-are-listened", {**gate, "ignore_readers": ["age"]}) == []
+    with pytest.raises(Exception, match="isn't closed"):
+        found(spark, [("b.dart", "X(keyboardType: 1")], "dart/numeric-field-validated", {"numeric_value": "1"})
+
+
+def test_self_comparison(spark):
+    from lintel.operators.flows import self_comparisons
+
+    params = {"reader": r"^os\.ReadFile$", "loader": "^load[A-Z]", "compare": r"^bytes\.Equal$", "declare": "self-comparison:"}
+    lines = lambda body: [n for n, _ in self_comparisons('package p\nimport o "os"\n' + body, params)]
+    twice = "func T(t *T, dir string) {\n\tp := filepath.Join(root(), \"x\")\n\twant, _ := o.ReadFile(p)\n\tgot := render(loadX(p))\n\tif !bytes.Equal(want, got) {\n\t}\n}\n"
+    assert lines(twice) == [7]
+    assert lines(twice.replace("loadX(p)", "model")) == [] and lines(twice.replace("loadX(p)", "loadX(dir)")) == []
+    assert lines("// self-comparison: round trip\n" + twice) == [] and lines(twice.replace("\tgot", "\t// self-comparison: y\n\tgot")) == []
+    assert lines(twice.replace("o.ReadFile(p)", "o.ReadFile(dir)").replace("loadX(p)", "loadX(dir)")) == []
+    assert lines("func T() {\n\ta := load()\n\tb, err := o.ReadFile(q)\n\tok := bytes.Equal(b, norm(b, a))\n}") == [6]
+    assert found(spark, [("a.go", 'package p\nimport o "os"\n' + twice), ("b.go", "")], "go/expected-derives-from-actual", params) == [("a.go", 7)]
+    assert found(spark, [("a.go", 'package p\nimport o "os"\n' + twice)], "go/call-confined-to-func-name", {"symbol": r"^os\.", "allowed_func": "^x"}) == [("a.go", 5)]
