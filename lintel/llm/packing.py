@@ -28,7 +28,7 @@ END = 0
 LARGE_FROM, GROUPS = 3, 256
 #: Chunks of text whose ids a worker keeps.
 CACHED_CHUNKS = 600_000
-_STRANGE = re.compile("[\x1c-\x1f]|<\\|")
+_STRANGE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 #: Letters whose lower case depends on their place, or is more than one letter.
 _UNEVEN = re.compile("[\u0130\u03a3]")
 
@@ -73,7 +73,7 @@ class ChunkIds(dict):
 
     def of(self, text: str) -> bytes:
         # Python's split() also parts at 0x1C to 0x1F, and special tokens are found before white space is: whole there.
-        return self.whole(text) if _STRANGE.search(text) else b"".join(map(self.__getitem__, text.split()))
+        return self.whole(text) if any(x in text for x in _STRANGE) else b"".join(map(self.__getitem__, text.split()))
 
 
 _tokenizers: dict[str, ChunkIds] = {}
