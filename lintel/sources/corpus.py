@@ -85,6 +85,10 @@ def tree(spark: SparkSession, root: str, ignore: Mapping[str, str] | None = None
 
 
 def json_lines(spark: SparkSession, text: str) -> DataFrame:
+    return memory(spark, records(text))
+
+
+def records(text: str) -> list[tuple[str, str]]:
     """A batch of {"path", "content"} lines; blank lines, other fields and an empty batch are errors."""
     rows = []
     for i, line in enumerate(text.removesuffix("\n").split("\n"), 1):
@@ -95,7 +99,7 @@ def json_lines(spark: SparkSession, text: str) -> DataFrame:
         if not isinstance(body, dict) or set(body) != {"path", "content"} or not all(isinstance(x, str) for x in body.values()):
             raise ConfigError(f"line {i}: want path and content only")
         rows.append((body["path"], body["content"]))
-    return memory(spark, rows)
+    return rows
 
 
 def table(spark: SparkSession, path: str, key: str, text: str, prefix: str = "") -> DataFrame:
@@ -125,6 +129,23 @@ def tracked(root: str) -> list[str]:
     return _git(root, "ls-files", "-z")
 
 
+def ignored(root: str) -> list[str]:
+    """What git ignores, directories as a whole; nothing where git can't tell."""
+    try:
+        found = _git(root, "ls-files", "-z", "--others", "--ignored", "--exclude-standard", "--directory")
+    except (ConfigError, OSError):
+        return []
+    return [x.rstrip("/") for x in found]
+
+
+def prune(files: DataFrame, paths: Iterable[str]) -> DataFrame:
+    """Files neither at one of the paths nor below one; every leading part of a file's path is looked up."""
+    gone = files.sparkSession.createDataFrame([(x,) for x in sorted(set(paths))], "gone string")
+    parts = F.split("path", "/")
+    above = files.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("gone"))
+    return files.join(above.join(gone, "gone", "left_semi").select("path").distinct(), "path", "left_anti")
+
+
 def restrict(files: DataFrame, changed: Iterable[str]) -> DataFrame:
     """Files in a set of paths, composed and decomposed spellings alike; a path that no file has is an error."""
     names = sorted({unicodedata.normalize("NFC", x) for x in changed})

@@ -273,3 +273,46 @@ def test_self_comparison(spark):
     assert lines("func T() {\n\ta := load()\n\tb, err := o.ReadFile(q)\n\tok := bytes.Equal(b, norm(b, a))\n}") == [6]
     assert found(spark, [("a.go", 'package p\nimport o "os"\n' + twice), ("b.go", "")], "go/expected-derives-from-actual", params) == [("a.go", 7)]
     assert found(spark, [("a.go", 'package p\nimport o "os"\n' + twice)], "go/call-confined-to-func-name", {"symbol": r"^os\.", "allowed_func": "^x"}) == [("a.go", 5)]
+
+
+def test_content(spark):
+    from lintel.plans import content
+
+    rules = [
+        Rule("no-q", "forbidden-pattern", {"pattern": "q"}, cure="drop it"), Rule("go-only", "file-size", {"cap": 1}, include=("**/*.go",)), Rule("count", "pattern-count", {"pattern": "q", "op": "at-most", "n": 0}),
+        Rule("homes", "ordering", {"before": "a", "after": "b"}, not_declaring=(("m", 1),)), Rule("sql", "sql/locking-target", {"table": "t", "strength": ["update"]}), Rule("every", "required-pattern", {"pattern": "q"}),
+    ]
+    one, two, three = content.check(spark, [("a.txt", "q\nq\nq\nq"), ("b.go", "// made\nx\ny"), ("c.SQL", b"")], rules, generated=["made"])
+    assert one["status"] == "findings" and one["evaluated_rule_ids"] == ["no-q"] and (one["findings_total"], len(one["findings"])) == (4, 4)
+    short = content.shortened(one)
+    assert (short["findings_total"], short["findings_omitted"], len(short["findings"])) == (4, 1, 3)
+    assert one["findings"][0] == {"rule": "no-q", "severity": "error", "path": "a.txt", "line": 1, "message": "matches forbidden pattern q", "cure": "drop it", "explain": "explain no-q"}
+    assert {x["rule"]: x["reason"] for x in one["not_evaluated"]} == {"count": "whole_tree_invariant", "homes": "scope_not_declaring", "sql": "content_only_not_supported", "every": "content_only_not_supported"}
+    assert one["coverage"] == {"rules_total": 6, "in_scope": 5, "eligible": 1, "evaluated": 1, "deferred": 4, "out_of_scope": 1}
+    assert two["status"] == "no_eligible_rules" and {x["reason"] for x in two["not_evaluated"]} == {"generated_excluded"}
+    assert three["status"] == "clean" and three["evaluated_rule_ids"] == ["no-q", "sql"]
+    assert content.failed([one]) and not content.failed([two, three])
+    assert [d["findings_total"] for d in content.check(spark, [("a", "q"), ("a", "x")], rules[:1])] == [1, 0]
+
+
+def test_fixtures(spark, tmp_path):
+    from lintel.plans import fixtures
+
+    for path, text in {"fire-1/a.go": "q // want: r\nx\n", "fire-2/a": "q\n", "fire-2.want": "# c\na:1 forbidden\n", "fire-3/a": "x", "fire-4/a": "q", "fire-4.want": "a:1 other\n", "pass-1/a": "x", "pass-2/a": "q"}.items():
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_text(text)
+    got = fixtures.run(spark, Rule("r", "forbidden-pattern", {"pattern": "q"}, min_files=9), str(tmp_path))
+    assert [(a.name, a.passed) for a in got] == [("fire-1", True), ("fire-2", True), ("fire-3", False), ("fire-4", False), ("pass-1", True), ("pass-2", False)]
+    assert got[3].missing == (("a", 1, "other"),) and fixtures.report(got)["summary"] == {"rules": 1, "failed": 1, "arms": 6}
+    assert fixtures.manifest("-\n- some text\np/x y\np:3\n") == [("", 0, ""), ("", 0, "some text"), ("p/x", 0, "y"), ("p", 3, "")]
+
+
+def test_gitignore(spark, tmp_path):
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    for path in ("out/x/a", "out2/a", "b.log", "keep", ".gitignore"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("out/\n*.log\n" if path == ".gitignore" else "x")
+    assert sorted(corpus.ignored(str(tmp_path))) == ["b.log", "out"]
+    files, _ = corpus.tree(spark, str(tmp_path))
+    assert sorted(r["path"] for r in corpus.prune(files, corpus.ignored(str(tmp_path))).select("path").collect()) == [".gitignore", "keep", "out2/a"]
+    assert corpus.ignored("/nowhere") == []
