@@ -20,7 +20,7 @@ STAGES = [
     ("packing", lambda spark, docs, sf_dir: pack(docs, _vocabulary())),
 ]
 
-#: Neither shingle joins with fingerprints nor a tokenizer can be written in SQL; tests/llm has a brute-force version.
+#: Neither shingle joins with fingerprints nor a tokenizer can be written in SQL; tests/llm has a small fixture with known outcome.
 ORACLE_SQL = None
 
 
