@@ -11,8 +11,10 @@ from lintel.llm.shared import stored
 SITES, LEAST_CHARS = 5, 10
 #: log2 of a sketch's registers, and how far from SITES, as a part of it, an estimate is not trusted.
 LG_K, MARGIN = 12, 0.1
-#: Percent of a document's characters that may go; with more it is a copy as a whole, and stays for document-level joins.
+#: Percent of a document's characters that may go. With more, line_dedup leaves it whole, and the pipeline's stage does if it is a copy.
 MOST_LOST = 50
+#: Words of a shingle, and percent of shared ones, from which the stage takes a text for a copy: those of the pipeline's join.
+WORDS, ALIKE = 5, 80
 
 
 def _lines(text: Column) -> Column:
@@ -33,30 +35,62 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", sites
     return rough.where(F.col("estimate") > sites * (1 + MARGIN)).select("a", "b").union(exact.select("a", "b"))
 
 
-def _hashed(docs: DataFrame, *more: str) -> DataFrame:
-    found = docs.select(*(x for x in docs.columns if x != "text"), F.posexplode(_lines(F.coalesce("text", F.lit("")))).alias("at", "line")).withColumn("line", F.trim("line"))
-    return found.where(F.length("line") >= LEAST_CHARS).select(*(x for x in docs.columns if x != "text"), "at", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
+def _hashed(docs: DataFrame, *more: Column) -> DataFrame:
+    found = docs.select(*(x for x in docs.columns if x != "text"), F.posexplode(_lines(F.coalesce("text", F.lit("")))).alias("at", "line"))
+    found = found.select(*(x for x in found.columns if x != "line"), *more, F.trim("line").alias("line"))
+    return found.where(F.length("line") >= LEAST_CHARS).select(*(x for x in found.columns if x not in ("at", "line")), "at", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
 
 
-def line_dedup(docs: DataFrame, sites: int = SITES, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
+def _copied(docs: DataFrame, over: DataFrame, text: str) -> DataFrame:
+    """(_k): digests of those texts of over (_i, _k, rows, tokens) that are copies: in several rows, or alike another one.
+
+    Each text is compared with two pivots of each of its boilerplate lines and two of all of them together, so that pairs
+    are linear in the lines. A near copy whose lines are all common among unlike texts can be missed.
+    """
+    each = stored(over.groupBy("_k").agg(F.min("_i").alias("_i"), F.sum("rows").alias("rows"), F.first("tokens").alias("tokens")), "over")
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
+    shingles = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - WORDS, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice("words", i + 1, WORDS), " "))))
+    texts = docs.join(each.select("_i", "_k"), (F.col("_id") == F.col("_i")) & (F.col("_h") == F.col("_k")), "left_semi").select("_h", F.col(text).alias("text")).dropDuplicates(["_h"])
+    sets = stored(texts.withColumn("words", words).select("_h", shingles.alias("set")), "sets")
+    tokens = each.select("_k", F.explode(F.array_union("tokens", F.array(F.xxhash64(F.array_sort("tokens"))))).alias("token"))
+    pivots = tokens.groupBy("token").agg(F.array(F.min("_k"), F.max("_k")).alias("p"), F.count("*").alias("times")).where("times > 1").select("token", F.explode("p").alias("p"))
+    pairs = tokens.join(pivots, "token").where("_k <> p").select("_k", "p").distinct()
+    both = pairs.join(sets.select(F.col("_h").alias("_k"), F.col("set").alias("x")), "_k").join(sets.select(F.col("_h").alias("p"), F.col("set").alias("y")), "p")
+    shared = F.size(F.array_intersect("x", "y"))
+    alike = both.where(100 * shared >= ALIKE * (F.size("x") + F.size("y") - shared)).select(F.explode(F.array("_k", "p")).alias("_k"))
+    return each.where("rows > 1").select("_k").union(alike).distinct()
+
+
+def line_dedup(docs: DataFrame, sites: int = SITES, key: str = "doc_id", text: str = "text", site: str = "source", copies_only: bool = False) -> DataFrame:
     """All columns of docs, `text` without its boilerplate lines, and n_lines, n_removed, lost_chars, left_whole.
 
     A line (between newlines, spaces trimmed, LEAST_CHARS characters or more) is boilerplate if rows of `sites` distinct
     sites or more hold it; a null site counts for none. It is removed wherever it stands, repeats included. Where that
-    would take over MOST_LOST percent of a text's characters, the text is left whole and left_whole says so. A null text
+    would take over MOST_LOST percent of a text's characters, the text is left whole and left_whole says so; with
+    copies_only, which the SQL of the query does not have, only if it is also found to be a copy. A null text
     stays null (n_lines 0). Rows with the same or a null key are told apart by their text. Columns of docs named like the
     ones added are replaced.
     """
     added = ("n_lines", "n_removed", "lost_chars", "left_whole")
     docs = docs.drop(*added)
     row = [F.coalesce(F.col(key).cast("long"), F.lit(-(2**62))).alias("_id"), F.xxhash64(text).alias("_h")]
-    lines = _hashed(docs.select(*row, F.col(text).alias("text"))).withColumnsRenamed({"_id": "_i", "_h": "_k"})
-    bad = lines.join(stored(boilerplate(docs, text, site, sites), "boilerplate"), ["a", "b"]).groupBy("_i", "_k").agg(F.collect_set("at").alias("_bad"))
+    shared = stored(boilerplate(docs, text, site, sites), "boilerplate")
+    if copies_only:
+        sized = _hashed(docs.select(*row, F.length(text).alias("_n"), F.size(_lines(F.col(text))).alias("_m"), F.col(text).alias("text")), F.length("line").alias("chars")).withColumnsRenamed({"_id": "_i", "_h": "_k"})
+        bad = sized.join(shared, ["a", "b"]).groupBy("_i", "_k").agg(F.collect_set(F.struct("at", "chars", "a")).alias("s"), F.count("*").alias("rows"), F.max("_n").alias("_n"), F.max("_m").alias("_m"))
+        # A line goes with its newline; a text of nothing else has one newline less than lines.
+        lost = F.aggregate("s", F.lit(0), lambda x, y: x + y["chars"] + 1) - F.when(F.size("s") == F.col("_m"), 1).otherwise(0)
+        bad = stored(bad.select("_i", "_k", F.col("s.at").alias("_bad"), F.array_distinct("s.a").alias("tokens"), (F.col("rows") / F.size("s")).cast("long").alias("rows"), (100 * lost > MOST_LOST * F.col("_n")).alias("over")), "bad")
+        copied = _copied(docs.select(*row, text), bad.where("over"), text)
+        bad = bad.join(copied.withColumn("_copy", F.lit(True)), "_k", "left").select("_i", "_k", "_bad", (F.col("over") & F.coalesce("_copy", F.lit(False))).alias("_copy"))
+    else:
+        lines = _hashed(docs.select(*row, F.col(text).alias("text"))).withColumnsRenamed({"_id": "_i", "_h": "_k"})
+        bad = lines.join(shared, ["a", "b"]).groupBy("_i", "_k").agg(F.collect_set("at").alias("_bad"))
     both = docs.select("*", *row).join(bad, (F.col("_id") == F.col("_i")) & (F.col("_h") == F.col("_k")), "left")
     both = both.withColumn("_bad", F.coalesce("_bad", F.array().cast("array<int>"))).withColumn("_lines", _lines(F.col(text)))
     both = both.withColumn("_kept", F.when(F.size("_bad") == 0, F.col(text)).otherwise(F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_bad", i)), "\n")))
     both = both.withColumn("_lost", F.coalesce(F.length(text) - F.length("_kept"), F.lit(0)).cast("long"))
-    both = both.withColumn("left_whole", F.coalesce(100 * F.col("_lost") > MOST_LOST * F.length(text), F.lit(False)))
+    both = both.withColumn("left_whole", F.coalesce(F.col("_copy") if copies_only else 100 * F.col("_lost") > MOST_LOST * F.length(text), F.lit(False)))
     gone = F.when(F.col("left_whole"), F.lit(0).cast("long"))
     kept = {
         text: F.when(F.col("left_whole"), F.col(text)).otherwise(F.col("_kept")),
@@ -68,8 +102,8 @@ def line_dedup(docs: DataFrame, sites: int = SITES, key: str = "doc_id", text: s
 
 
 def apply_line_dedup(docs: DataFrame) -> DataFrame:
-    """The pipeline stage: the columns of docs, with texts and their sizes as line_dedup leaves them."""
-    found = line_dedup(docs)
+    """The pipeline stage: the columns of docs, with texts and their sizes as line_dedup leaves them; only copies stay whole."""
+    found = line_dedup(docs, copies_only=True)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast("long"))
     return found.select(docs.columns)

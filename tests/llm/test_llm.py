@@ -198,6 +198,19 @@ def test_line_dedup(spark, odd, none):
     assert [r["text"] for r in line_dedup.line_dedup(odd).where("doc_id = 1").collect()] == [None]
 
 
+def test_line_dedup_stage_leaves_only_copies_whole(spark, odd, none):
+    rnd = random.Random(12)
+    words = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    menu, foot, copy, edited = words(20), words(20), [words(12) for _ in range(3)], [words(12) for _ in range(20)]
+    near = ["\n".join([*edited[:i], edited[i] + " edited", *edited[i + 1 :]]) for i in range(6)]
+    rows = [*(f"{menu}\nown words of page {i}\n{foot}" for i in range(6)), *["\n".join(copy)] * 6, *near, f"{menu}\n{foot}"]
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 6}", len(t)) for i, t in enumerate(rows)], DOCS)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in line_dedup.apply_line_dedup(docs).collect()}
+    want = [*(f"own words of page {i}" for i in range(6)), *rows[6:18], ""]
+    assert got == {i: (t, len(t)) for i, t in enumerate(want)}
+    assert line_dedup.apply_line_dedup(odd).count() == len(ODD) and line_dedup.apply_line_dedup(none).count() == 0
+
+
 def test_quality(odd, none):
     got = {r["doc_id"]: r for r in quality.quality(odd).collect()}
     assert got[4]["base_failed"] and got[4]["n_repeat_words"] == 20000 and got[1]["n_words"] == 0 and not got[5]["kept"]
