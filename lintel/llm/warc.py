@@ -23,7 +23,7 @@ ARCHIVE_BYTES = 16 << 20
 STEP = 1 << 14
 RECORDS = "path string, offset long, length long, kind string, reason string, record_id string, refers_to string, target string, payload_digest string, payload_bytes long, payload binary"
 _MAGIC = b"\x1f\x8b\x08"
-_VERSION = re.compile(rb"^WARC/1\.[01]\r?\n", re.M)
+_VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 
 
 def digest_of(payload: bytes) -> str:
@@ -71,10 +71,13 @@ def _parse(data: bytes, at: int) -> tuple[int, dict]:
     except UnicodeDecodeError:
         raise ValueError("headers aren't UTF-8") from None
     head: dict[str, str] = {}
+    torn = _VERSION.search(data, at + 1, blank.start() + 2)
     for line in lines:
         name, colon, value = line.partition(":")
         if not colon:
             raise ValueError("a header without a colon")
+        if torn and name.strip().lower() in head:
+            raise ValueError("the headers are torn, and another record's follow")
         head[name.strip().lower()] = value.strip()
     if not re.fullmatch(r"\d+", head.get("content-length", "")):
         raise ValueError("no content length")
@@ -101,6 +104,22 @@ def _parse(data: bytes, at: int) -> tuple[int, dict]:
     return tail.end(), {"kind": kind, "record_id": bare(head.get("warc-record-id")), "refers_to": bare(head.get("warc-refers-to")), "target": head.get("warc-target-uri"), "payload_digest": said or None, "payload_bytes": size, "payload": None if kind == "revisit" else payload}
 
 
+def _later(data: bytes, at: int, stop: int) -> int:
+    """Where the next version line after `at` begins, or stop. What was torn may end without a newline: a version string
+    inside a line counts if a whole record begins there."""
+    for hit in _VERSION.finditer(data, at + 1):
+        if hit.start() >= stop:
+            break
+        if data[hit.start() - 1] == 10:
+            return hit.start()
+        try:
+            _parse(data, hit.start())
+        except ValueError:
+            continue
+        return hit.start()
+    return stop
+
+
 def _plain(data: bytes) -> Iterator[tuple[int, int, dict]]:
     """(start, end, fields) of records and gaps of uncompressed bytes."""
     at = 0
@@ -108,16 +127,15 @@ def _plain(data: bytes) -> Iterator[tuple[int, int, dict]]:
         try:
             end, found = _parse(data, at)
         except ValueError as e:
-            later = _VERSION.search(data, at + 1)
-            end, found = later.start() if later else len(data), {"kind": "gap", "reason": str(e)}
+            end, found = _later(data, at, len(data)), {"kind": "gap", "reason": str(e)}
         yield at, end, found
         at = end
 
 
 def _next_start(data: bytes, at: int) -> int:
     """Where the next member or version line after `at` may begin."""
-    line = _VERSION.search(data, at + 1)
-    return min(x for x in (data.find(_MAGIC, at + 1), line.start() if line else -1, len(data)) if x > at)
+    found = data.find(_MAGIC, at + 1)
+    return _later(data, at, found if found > at else len(data))
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict]]:

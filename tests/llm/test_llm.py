@@ -288,6 +288,18 @@ def test_warc_salvage():
     assert kinds(b"junk\n" + recs[0] + recs[1][:50]) == [("gap", None), every[0], ("gap", None)]
 
 
+def test_warc_salvage_behind_a_tear():
+    page = b"<p>cut here, says WARC/1.1\r\n</p>" * 3
+    recs = [warc.record(f"urn:x:{i}", f"http://h/{i}", page + b"%d" % i, "urn:x:0" if i == 1 else None) for i in range(4)]
+    for torn in (recs[1], recs[2]):
+        for cut in range(1, len(torn)):
+            data = recs[0] + torn[:cut] + recs[3] + recs[2]
+            want = [(0, len(recs[0]), "urn:x:0"), (len(recs[0]) + cut, len(recs[0]) + cut + len(recs[3]), "urn:x:3"), (len(data) - len(recs[2]), len(data), "urn:x:2")]
+            assert [(a, b, f["record_id"]) for a, b, f in warc.salvage(data) if f["kind"] != "gap"] == want
+            got = [f["record_id"] for _, _, f in warc.salvage(warc.member(recs[0]) + warc.member(data)) if f["kind"] != "gap"]
+            assert got == ["urn:x:0", "urn:x:0", "urn:x:3", "urn:x:2"]
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://a/ b\r\nX: y", "<p>same</p>"), (2, None, "<p>same</p>"), (3, "u", None), (4, "u", ""), (5, "u", "é" * 70000), (None, "u", "<p>same</p>"), (6, "u", "six")]
     rows = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("first", F.lit(1)).withColumn("sha", F.lit(1))
