@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterator, Mapping
 from typing import Any
 
@@ -18,7 +19,8 @@ from lintel.llm.words import columns, parts
 CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
 #: An argument that is the result of an earlier call: {"$result": "<call id>"}.
 REFERENCE = "$result"
-MOST_ROUNDS = 100
+#: References of a conversation up to which one task orders its calls; of more, every round settles calls by aggregation.
+MOST_GATHERED = 200_000
 
 #: What calls are checked against unless schemas are given: tool name -> JSON schema of its arguments.
 TOOLS: dict[str, dict] = {
@@ -107,6 +109,62 @@ def parse(role: str | None, text: str | None, tools: Mapping[str, Mapping]) -> l
     return [("message", None, canonical({"content": plain, "role": role}), [], []), *calls]
 
 
+def settled(edges: list[tuple[str, int, str, int]]) -> Iterator[tuple[str, int, int, bool]]:
+    """(call, rank, level, cycle) of all calls with references in edges (call, its turn, call it refers to, that one's turn).
+
+    (rank, level) is the largest of (own turn, 0) and of (rank, level + 1) of all calls referred to. Calls are settled once
+    none of their references is open; those that never are, are on a cycle or refer to one."""
+    at = {c: (turn, 0) for call, own, ref, theirs in edges for c, turn in ((call, own), (ref, theirs))}
+    refs, users = defaultdict(list), defaultdict(list)
+    for call, _, ref, _ in edges:
+        refs[call].append(ref)
+        users[ref].append(call)
+    waits = {c: len(x) for c, x in refs.items()}
+    ready = [c for c in at if c not in refs]
+    while ready:
+        done = ready.pop()
+        if done in refs:
+            at[done] = max(at[done], *((at[x][0], at[x][1] + 1) for x in refs[done]))
+        for c in users[done]:
+            waits[c] -= 1
+            if not waits[c]:
+                ready.append(c)
+    for c in refs:
+        yield (c, at[c][0], 0, True) if waits[c] else (c, *at[c], False)
+
+
+def peeled(edges: DataFrame) -> DataFrame:
+    """What `settled` says, for conversations of any size: each round settles the calls without open references, by an
+    aggregation and joins on the call, until there are none. Needs as many rounds as the longest chain has calls."""
+    waiting = edges.select("conv_id", F.col("call_id").alias("ref"), F.lit(True).alias("waits")).distinct()
+    left = stored(edges.join(waiting, ["conv_id", "ref"], "left").select("conv_id", "call_id", "own", "ref", F.col("theirs").alias("r"), F.lit(0).cast("long").alias("l"), F.col("waits").isNull().alias("ready")), "open")
+    out = None
+    while True:
+        each = left.groupBy("conv_id", "call_id").agg(F.greatest(F.max(F.struct(F.col("r").alias("rank"), (F.col("l") + 1).alias("level"))), F.struct(F.max("own").alias("rank"), F.lit(0).cast("long").alias("level"))).alias("o"), F.min("ready").alias("ready"))
+        done = stored(each.where("ready").select("conv_id", "call_id", "o.rank", "o.level"), "done")
+        if done.first() is None:
+            rest = left.groupBy("conv_id", "call_id").agg(F.max("own").alias("rank")).select("conv_id", "call_id", "rank", F.lit(0).cast("long").alias("level"), F.lit(True).alias("cycle"))
+            return rest if out is None else out.union(rest)
+        out = done.withColumn("cycle", F.lit(False)) if out is None else out.union(done.withColumn("cycle", F.lit(False)))
+        known = done.select("conv_id", F.col("call_id").alias("ref"), "rank", "level")
+        left = left.join(done, ["conv_id", "call_id"], "left_anti").join(known, ["conv_id", "ref"], "left")
+        left = stored(left.select("conv_id", "call_id", "own", "ref", F.coalesce("rank", "r").alias("r"), F.coalesce("level", "l").alias("l"), (F.col("ready") | F.col("rank").isNotNull()).alias("ready")), "open")
+
+
+def ordered(edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, rank, level, cycle) of the calls with references; edges: conv_id, call_id, own, ref, theirs."""
+
+    def run(found: pa.Table) -> pa.Table:
+        rows = [*settled([*zip(*columns(found, "call_id", "own", "ref", "theirs"), strict=True)])]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_())
+        held = [pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.table([pa.array([found.column("conv_id")[0].as_py()] * len(rows), pa.int64()), *held], ["conv_id", "call_id", "rank", "level", "cycle"])
+
+    large = stored(edges.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > MOST_GATHERED).select("conv_id"), "large")
+    out = edges.join(large, "conv_id", "left_anti").groupBy("conv_id").applyInArrow(run, "conv_id long, call_id string, rank long, level long, cycle boolean")
+    return out if large.first() is None else out.union(peeled(edges.join(large, "conv_id", "left_semi")))
+
+
 def chat(messages: DataFrame, tools: Mapping[str, Mapping] = TOOLS, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row for each part of each message: conv_id, turn, part, kind (message, call, result), call_id, status, problems,
     level, place (array<long>), json.
@@ -115,8 +173,9 @@ def chat(messages: DataFrame, tools: Mapping[str, Mapping] = TOOLS, conv: str =
     status: ok; duplicate (of a call's id); unanswered; orphan (a result without a call); invalid (malformed, unknown tool
     or arguments that the schema refuses); cycle. Rows of a conversation in the order of `place` are topologically
     ordered: a result stands behind its call, a call behind the calls whose results it refers to, and all else by turn and
-    part. Only calls with references need rounds, each an aggregation; a conversation is never gathered, and results
-    with a very common conversation or identifier split like any join. Null conversations, turns, roles and texts are kept: such calls are not linked
+    part. A call is a cycle if it is on one or refers, through other calls or not, to one that is; its level is 0. Only ids
+    of calls with references are gathered, up to MOST_GATHERED of a conversation; beyond, see `peeled`. Messages and results
+    never are, and results with a very common conversation or identifier split like any join. Null conversations, turns, roles and texts are kept: such calls are not linked
     (a null equals nothing), a null turn sorts first, a null text is empty. Repeated rows are parts of their own.
     """
     rows = messages.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
@@ -133,22 +192,13 @@ def chat(messages: DataFrame, tools: Mapping[str, Mapping] = TOOLS, conv: str =
     calls = linked.where("kind = 'call' and call_id is not null and conv_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "part", "refs")).alias("c"), F.count("*").alias("n"))
     results = linked.where("kind = 'result' and call_id is not null").groupBy("conv_id", "call_id").agg(F.count("*").alias("answers"))
     calls = stored(calls.join(results, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.col("c.turn").alias("call_turn"), F.col("c.part").alias("call_part"), F.col("c.refs").alias("call_refs"), "answers"), "calls")
-    order = calls.select("conv_id", "call_id", F.coalesce("call_turn", F.lit(-1)).alias("rank"), F.lit(0).cast("long").alias("level"))
-    edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("call_refs")).alias("ref"))
-    cyclic = None
+    own = F.coalesce("call_turn", F.lit(-1)).cast("long")
+    edges = calls.select("conv_id", "call_id", own.alias("own"), F.explode(F.array_distinct("call_refs")).alias("ref"))
+    edges = edges.join(calls.select("conv_id", F.col("call_id").alias("ref"), own.alias("theirs")), ["conv_id", "ref"])
+    calls = calls.drop("call_refs").withColumns({"rank": own, "level": F.lit(0).cast("long"), "cycle": F.lit(False)})
     if edges.first() is not None:
-        edges = stored(edges, "edges")
-        for done in range(MOST_ROUNDS):
-            above = order.withColumnsRenamed({"call_id": "ref", "rank": "r", "level": "l"})
-            pushed = edges.join(above, ["conv_id", "ref"]).groupBy("conv_id", "call_id").agg(F.max(F.struct("r", (F.col("l") + 1).alias("l"))).alias("p"))
-            after = order.join(pushed, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.greatest(F.struct("rank", "level"), F.coalesce(F.struct(F.col("p.r").alias("rank"), F.col("p.l").alias("level")), F.struct("rank", "level"))).alias("o"), (F.col("p.l").isNotNull() & (F.struct(F.col("p.r").alias("rank"), F.col("p.l").alias("level")) > F.struct("rank", "level"))).alias("moved"))
-            after = stored(after.select("conv_id", "call_id", "o.*", "moved"), "order")
-            cyclic, order = after.where("moved").select("conv_id", "call_id"), after.drop("moved")
-            if cyclic.first() is None:
-                break
-    if cyclic is None:
-        cyclic = order.where("false").select("conv_id", "call_id")
-    calls = calls.join(order, ["conv_id", "call_id"], "left").join(cyclic.withColumn("cycle", F.lit(True)), ["conv_id", "call_id"], "left").drop("call_refs")
+        order = ordered(stored(edges, "edges")).withColumnsRenamed({"rank": "_rank", "level": "_level", "cycle": "_cycle"})
+        calls = calls.join(order, ["conv_id", "call_id"], "left").withColumns({c: F.coalesce(f"_{c}", c) for c in ("rank", "level", "cycle")}).drop("_rank", "_level", "_cycle")
     both = linked.join(calls.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
     first = (F.col("kind") == "result") | (F.col("turn").eqNullSafe(F.col("call_turn")) & (F.col("part") == F.col("call_part")))
     status = (

@@ -324,6 +324,25 @@ def test_chat(spark):
     assert chat.chat(spark.createDataFrame([], CONV)).count() == 0
 
 
+@pytest.mark.parametrize(("most", "n"), [(200_000, 130), (0, 12)])
+def test_chat_long_chains_and_cycles(spark, monkeypatch, most, n):
+    monkeypatch.setattr(chat, "MOST_GATHERED", most)
+    call = lambda i, *refs: f'<tool_call>{{"id":"{i}","name":"calculate","arguments":{{"expression":[{",".join(chr(123) + chr(34) + "$result" + chr(34) + ":" + chr(34) + str(r) + chr(34) + chr(125) for r in refs)}]}}}}</tool_call>'
+    rows = [
+        (1, 3, "assistant", "".join(call(i, *([i + 1] if i < n else [])) for i in range(n + 1))),
+        *((2, n - i, "assistant", call(i, *([i - 1] if i else []))) for i in range(n + 1)),
+        (3, 1, "assistant", call("a", "b") + call("b", "c") + call("c", "a", "z") + call("z") + call("own", "own")),
+        (3, 2, "assistant", call("d", "e") + call("e", "a", "z") + call("f", "z", "nobody")),
+        *((4, None, "assistant", call(i, *([i + 1] if i < n else []))) for i in range(n + 1)),
+    ]
+    tools = {"calculate": {"type": "object"}}
+    got = [r for r in chat.chat(spark.createDataFrame(rows, CONV), tools).collect() if r["kind"] == "call"]
+    assert {r["call_id"] for r in got if r["status"] == "cycle"} == set("abcde") | {"own"} and {r["conv_id"] for r in got if r["status"] == "cycle"} == {3}
+    assert {(r["conv_id"], r["call_id"]): r["level"] for r in got if r["conv_id"] in (1, 4)} == {(c, str(i)): n - i for c in (1, 4) for i in range(n + 1)}
+    for c, want in ((1, range(n, -1, -1)), (2, range(n + 1)), (4, range(n, -1, -1))):
+        assert [r["call_id"] for r in sorted((r for r in got if r["conv_id"] == c), key=lambda r: r["place"])] == [str(i) for i in want]
+
+
 def test_pipeline_keeps_what_is_clean(spark, tmp_path):
     import corpus_pipeline
 
