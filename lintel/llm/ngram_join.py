@@ -166,6 +166,20 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, key: str =
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The pipeline stage: of each component of near copies, the row with the smallest doc_id stays (one, if it repeats)."""
-    found = ngram_components(docs, k, percent).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """The pipeline stage: of each component of near copies one row stays, the one with the smallest doc_id; of rows that
+    share it, that with the smallest digest, once.
+
+    Rows with a null doc_id are nodes by their text, behind all ids: they link like others, and one stays only if no row
+    of the component has an id. Those without words link with nothing and stay, as texts without words of other ids do.
+    """
+    rows, text = docs.columns, F.coalesce("text", F.lit(""))
+    node = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**62) + F.xxhash64(text).bitwiseAND(F.lit(2**62 - 1)))
+    docs = docs.withColumn("_node", node)
+    gone = ngram_components(docs, k, percent, key="_node").where("doc_id <> component_id").select(F.col("doc_id").alias("_node")).distinct()
+    left = docs.join(gone, "_node", "left_anti")
+    free = F.col("doc_id").isNull() & ~text.rlike(r"[^\x20\x09-\x0D]")
+    again = stored(docs.where(~free).groupBy("_node").agg(F.count("*").alias("n")).where("n > 1").select("_node"), "again")
+    if again.first() is None:
+        return left.select(rows)
+    one = left.where(~free).join(again, "_node", "left_semi").groupBy("_node").agg(F.min_by(F.struct(*rows), F.sha2(F.to_json(F.struct(*rows)), 256)).alias("row"))
+    return left.where(free).select(rows).union(left.where(~free).join(again, "_node", "left_anti").select(rows)).union(one.select("row.*"))

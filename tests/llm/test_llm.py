@@ -77,6 +77,17 @@ def test_ngram_join_odd(spark, odd, none):
     assert ngram_join.one_of_each(spark.createDataFrame(ODD, DOCS)).columns == [x.split()[0] for x in DOCS.split(", ")]
 
 
+def test_one_of_each(spark, none):
+    rnd = random.Random(13)
+    a, b, c, d = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(40)) for _ in range(4))
+    rows = [(7, a, "en", "s", 1), (7, a, "en", "s", 1), (7, a, "en", "t", 1), (8, a + " more", "en", "s", 1), (None, a, None, None, None), (None, b, "en", "s", 1), (None, b, "en", "s", 1), (None, b + " more", "en", "s", 1), (9, c, "en", "s", 1), (2**40, d, "en", "s", 1), (None, d, "en", "s", 1), (3, "", "en", "s", 0), (4, None, "en", "s", 0), (None, "", "en", "s", 0), (None, "", "en", "s", 0)]
+    got = Counter(tuple(r) for r in ngram_join.one_of_each(spark.createDataFrame(rows, DOCS)).collect())
+    assert Counter(r[0] for r in got.elements()) == {7: 1, 9: 1, 2**40: 1, 3: 1, 4: 1, None: 3} and set(got) <= set(rows)
+    assert sum(n for r, n in got.items() if r[0] is None and r[1]) == 1 and got[None, "", "en", "s", 0] == 2
+    assert Counter(r["doc_id"] for r in ngram_join.one_of_each(spark.createDataFrame(ODD, DOCS)).collect()) == Counter([1, 2, 3, 4, 5, None])
+    assert ngram_join.one_of_each(none).count() == 0
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)] + [(200, 200 + i) for i in range(1, 60)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
