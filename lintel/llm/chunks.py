@@ -15,9 +15,9 @@ from lintel.llm.spans import cut, keyed
 from lintel.llm.words import columns, mix, parts, texts
 
 #: Bounds on a chunk's bytes, and how many bytes beyond the least it has on average.
-LEAST, MEAN, MOST = 16, 48, 256
-#: Bytes of a run of repeated chunks that is worth removing; below, chunks are alike by chance.
-LEAST_RUN = 96
+LEAST, MEAN, MOST = 16, 40, 160
+#: Bytes from which a run of repeated chunks is a passage; shorter ones are phrases and single lines.
+LEAST_RUN = 128
 _WINDOW = 32
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)).astype(np.uint32)
 
@@ -51,13 +51,23 @@ def bounds(raw: bytes, least: int = LEAST, mean: int = MEAN, most: int = MOST) -
     return ends
 
 
+def units(raw: bytes) -> list[tuple[int, int]]:
+    """[start, end) of what is compared: each two neighbouring chunks, so that chunks alike by chance don't join up to a
+    run that stands nowhere else; the only chunk of a short text."""
+    ends = bounds(raw)
+    begin = [0, *ends[:-1]][: len(ends)]
+    return [*zip(begin[:-1], ends[1:], strict=True)] if len(ends) > 1 else [*zip(begin, ends, strict=True)]
+
+
 def dedupe_chunks(docs: DataFrame, least_run: int = LEAST_RUN, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row of docs without chunks that occur earlier: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept.
+    """Each row of docs without passages that an earlier document holds: doc_id, n_bytes, n_removed, n_spans, kept_sha256,
+    n_shared (bytes in passages that other documents hold, earlier or later), kept.
 
-    Chunks are compared by 128-bit digests over all rows. The occurrence with the smallest (doc_id, start) stays (null ids
-    come first); of the others, runs of least_run bytes or more are removed, shorter runs stay, as chunks of a few words
-    are alike by chance. Rows that share doc_id and text are one document and each keep what it keeps. A null or empty
-    text has no chunk. Very long texts are cut whole; insertions move bounds only near themselves.
+    Pairs of neighbouring chunks are compared by 128-bit digests over all rows. Where several documents hold a pair, it
+    stays in the one with the smallest doc_id (rows without one come first, by a hash of their text), every time it occurs
+    there, and goes from the others, in runs of least_run bytes or more. What repeats within one document only stays. All
+    rows with the same doc_id are one document. A null or empty text has no chunk. Very long texts are cut whole;
+    insertions move bounds only near themselves. An empty table gives no rows.
     """
     docs = keyed(docs, key, text)
 
@@ -66,19 +76,21 @@ def dedupe_chunks(docs: DataFrame, least_run: int = LEAST_RUN, key: str = "doc_i
         for batch in parts(batches):
             ids, hs, starts, sizes, digests = [], [], [], [], []
             for name, h, raw in zip(*columns(batch, "id", "h"), texts(batch), strict=True):
-                ends = bounds(raw)
-                begin = [0, *ends[:-1]]
-                ids += [name] * len(ends)
-                hs += [h] * len(ends)
-                starts += begin[: len(ends)]
-                sizes += [e - b for b, e in zip(begin, ends, strict=False)]
-                digests += [xxhash.xxh3_128_digest(raw[b:e]) for b, e in zip(begin, ends, strict=False)]
+                found = units(raw)
+                ids += [name] * len(found)
+                hs += [h] * len(found)
+                starts += [b for b, _ in found]
+                sizes += [e - b for b, e in found]
+                digests += [xxhash.xxh3_128_digest(raw[b:e]) for b, e in found]
             two = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(two[:, 0]), pa.array(two[:, 1])], names)
+            arrays = [pa.array(x, t) for x, t in ((ids, pa.int64()), (hs, pa.int64()), (starts, pa.int32()), (sizes, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(two[:, 0]), pa.array(two[:, 1])], names)
 
     found = stored(docs.select("id", "h", "text").mapInArrow(split, "id long, h long, start int, size int, d1 long, d2 long"), "chunks")
-    many = found.groupBy("d1", "d2").agg(F.min(F.struct("id", "start", "h")).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
-    later = found.join(stored(many, "repeated"), ["d1", "d2"]).where("not (id = first.id and h = first.h and start = first.start)")
-    later = later.select("id", "h", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("size")).cast("long").alias("end")).distinct()
-    spans = later.groupBy("id", "h").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    many = found.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("d1", "d2", "first")
+    held = found.join(stored(many, "repeated"), ["d1", "d2"]).select("id", "h", F.struct("start", (F.col("start") + F.col("size")).alias("end"), (F.col("id") > F.col("first")).alias("later")).alias("x"))
+    spans = held.groupBy("id", "h").agg(F.collect_set("x").alias("all"))  # a repeated row comes once
+    later = F.filter("all", lambda x: x["later"])
+    longs = lambda x, name: F.transform(x, lambda y: y[name].cast("long"))
+    spans = spans.select("id", "h", longs(later, "start").alias("starts"), longs(later, "end").alias("ends"), longs(F.col("all"), "start").alias("all_starts"), longs(F.col("all"), "end").alias("all_ends"))
     return cut(docs, spans, least_run)

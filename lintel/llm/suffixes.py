@@ -214,4 +214,4 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
     placed = segments.select("id", "h", "start", "anchor", "digest").join(stored(found, "marks"), ["anchor", "digest"])
     placed = placed.select("id", "h", F.transform("starts", lambda x: x + F.col("start")).alias("s"), F.transform("ends", lambda x: x + F.col("start") + (length - 1)).alias("e"))
     spans = placed.groupBy("id", "h").agg(F.flatten(F.collect_list("s")).alias("starts"), F.flatten(F.collect_list("e")).alias("ends"))
-    return cut(docs, spans)
+    return cut(docs, spans).drop("n_shared")

@@ -148,11 +148,51 @@ def test_chunks(spark):
     inserted = b"!" * 13 + raw
     cut = lambda d: {d[a:b] for a, b in zip([0, *chunks.bounds(d)], chunks.bounds(d), strict=False)}
     assert shifted and len(cut(raw) & cut(inserted)) >= 0.9 * len(cut(raw))
-    passage = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(80))
-    rows = [(i, " ".join(f"v{rnd.randrange(10**6)}" for _ in range(60)) + " " + passage) for i in range(5)] + [(9, "clean " + " ".join(f"u{rnd.randrange(10**6)}" for _ in range(60)))]
-    got = {r["doc_id"]: r for r in chunks.dedupe_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[0]["n_removed"] == 0 and got[9]["n_removed"] == 0
-    assert all(0.6 * len(passage) < got[i]["n_removed"] <= len(passage) + 1 for i in range(1, 5))
+
+
+def brute_chunks(rows, least):
+    """{row: (n_bytes, n_removed, n_spans, sha256, n_shared)} from sets of pairs of chunks, byte by byte."""
+    place = lambda i, d: d if d is not None else -(2**62)
+    held = defaultdict(set)
+    pairs = {}
+    for i, (d, t) in enumerate(rows):
+        raw = (t or "").encode()
+        ends = chunks.bounds(raw)
+        cut = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        pairs[i] = [(sum(map(len, cut[:j])), cut[j] + cut[j + 1]) for j in range(len(cut) - 1)] if len(cut) > 1 else [(0, x) for x in cut]
+        for _, x in pairs[i]:
+            held[x].add(place(i, d))
+    out = []
+    for i, (d, t) in enumerate(rows):
+        raw = (t or "").encode()
+        flags = {}
+        for name, test in (("gone", lambda x: min(held[x]) < place(i, d)), ("shared", lambda x: len(held[x]) > 1)):
+            hit = bytearray(len(raw))
+            for at, x in pairs[i]:
+                if test(x):
+                    hit[at : at + len(x)] = b"x" * len(x)
+            runs = bytes(hit).replace(b"\0", b" ").split(b" ")
+            for run in runs:
+                if 0 < len(run) < least:
+                    at = bytes(hit).index(b"\0" + run + b"\0") + 1 if b"\0" + run + b"\0" in hit else 0 if hit.startswith(run + b"\0") or len(run) == len(hit) else len(hit) - len(run)
+                    hit[at : at + len(run)] = bytes(len(run))
+            flags[name] = hit
+        kept = bytes(c for c, g in zip(raw, flags["gone"], strict=True) if not g)
+        out.append((d, len(raw), len(raw) - len(kept), len(bytes(flags["gone"]).replace(b"\0", b" ").split()), hashlib.sha256(kept).hexdigest(), flags["shared"].count(b"x")))
+    return out
+
+
+def test_chunk_dedup(spark):
+    rnd = random.Random(7)
+    word = lambda c, n: " ".join(f"{c}{rnd.randrange(10**6)}" for _ in range(n))
+    passage, line, junk = word("w", 80), word("l", 9), word("j", 40)
+    rows = [(i, word("v", 60) + " " + passage[: rnd.choice([len(passage), 300])] + " " + word("v", 20)) for i in range(6)]
+    rows += [(9, "clean " + word("u", 60)), (10, f"{line}\n{word('u', 30)}"), (11, f"{line}\n{word('u', 30)}"), (12, f"{junk} " * 5), (None, passage), (None, passage), (13, None), (14, "")]
+    rows += [(15, rows[1][1]), (15, word("u", 30) + passage), (16, "short copy"), (17, "short copy"), (18, rows[0][1] * 50)]
+    got = Counter(tuple(r)[:6] for r in chunks.dedupe_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter(brute_chunks(rows, chunks.LEAST_RUN))
+    by = {r[0]: r for r in got}
+    assert all(by[i][2] == 0 and by[i][5] == 0 for i in (9, 10, 11, 12)) and all(by[i][2] > 100 for i in range(6)) and by[15][5] > 0
 
 
 def test_packing(spark, odd, none):
