@@ -26,8 +26,8 @@ SIZE = 2048
 END = 0
 #: Lengths over SIZE / LARGE_FROM are large; groups of large pieces with equal numbers of pieces.
 LARGE_FROM, GROUPS = 3, 256
-#: Chunks of text whose ids a worker keeps.
-CACHED_CHUNKS = 600_000
+#: Chunks of text, and as many words, whose ids a worker keeps; and flags for chunks seen once, which aren't kept yet.
+CACHED_CHUNKS, SEEN_ONCE = 300_000, 1 << 22
 _STRANGE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 #: Letters whose lower case depends on their place, or is more than one letter.
 _UNEVEN = re.compile("[\u0130\u03a3]")
@@ -42,6 +42,7 @@ class ChunkIds(dict):
 
         found = Tokenizer.from_file(path)
         self.encode, self.model, self.words = found.encode, found.model, {}
+        self.once, self.words_once = bytearray(SEEN_ONCE), bytearray(SEEN_ONCE)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level vocabularies write other bytes as 256, 257, ...
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: 256 + i for i, b in enumerate(hidden)}
@@ -54,21 +55,27 @@ class ChunkIds(dict):
         """Of letters only, in composed form: they are lower-cased and go to the model as one word."""
         key = letters.lower()
         if (found := self.words.get(key)) is None:
-            if len(self.words) >= CACHED_CHUNKS:
-                self.words.clear()
             written = key.encode().decode("latin-1").translate(self.letters)
-            self.words[key] = found = np.asarray([x.id for x in self.model.tokenize(written)], "<u4").tobytes()
+            found = np.asarray([x.id for x in self.model.tokenize(written)], "<u4").tobytes()
+            self.keep(self.words, self.words_once, key, found)
         return found
 
+    def keep(self, cache: dict[str, bytes], once: bytearray, key: str, found: bytes) -> None:
+        """From the second time on: most of what comes once never comes again."""
+        flag = hash(key) % SEEN_ONCE
+        if once[flag]:
+            if len(cache) >= CACHED_CHUNKS:
+                cache.clear()
+            cache[key] = found
+        once[flag] = 1
+
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHED_CHUNKS:
-            self.clear()
         letters, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in ".,!?;:" else (chunk, "")
         if self.plain and letters.isalpha() and not _UNEVEN.search(letters) and is_normalized("NFC", letters):
             found = self.word(letters) + (self[mark] if mark and letters else b"")
         else:
             found = self.whole(chunk)
-        self[chunk] = found
+        self.keep(self, self.once, chunk, found)
         return found
 
     def of(self, text: str) -> bytes:
@@ -86,19 +93,31 @@ def chunk_ids(path: str) -> ChunkIds:
     return _tokenizers[path]
 
 
+#: Rows of a table of pieces; `local` is the place among the pieces of the same length in the same partition.
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, local long"
+
+
 def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) for every piece: a document's ids and END, cut at multiples of size."""
+    """(doc_id, piece, start, length, ids_crc32, local, part) for every piece: a document's ids and END, cut at multiples of
+    size. One Python worker does it all for a task, so that no more of them hold a tokenizer than tasks run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = chunk_ids(vocabulary), np.asarray([END], "<u4").tobytes()
-        for batch in parts(batches):
-            out = []
-            for doc, value in zip(*columns(batch, "doc_id", "text"), strict=True):
-                whole = ids.of(value) + end
-                out += [(doc, i // (4 * size), i // 4, len(part) // 4, zlib.crc32(part)) for i in range(0, len(whole), 4 * size) for part in [whole[i : i + 4 * size]]]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        seen = np.zeros(size + 1, np.int64)
+        for batch in batches:
+            for rows in parts([batch]):
+                out = []
+                for doc, value in zip(*columns(rows, "doc_id", "text"), strict=True):
+                    whole = ids.of(value) + end
+                    for at in range(0, len(whole), 4 * size):
+                        part = whole[at : at + 4 * size]
+                        length = len(part) // 4
+                        out.append((doc, at // (4 * size), at // 4, length, zlib.crc32(part), int(seen[length])))
+                        seen[length] += 1
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
 
-    return rows_of(docs, key, text).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows_of(docs, key, text).mapInArrow(run, PIECES).withColumn("part", F.spark_partition_id())
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[list[int], float]]:
@@ -284,20 +303,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, key: str = "doc_id"
     """Every piece of every row of docs with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is one piece that holds END alone. Rows with the same key are packed each; a null key stays null.
-    Only documents of over size tokens are cut. An empty table gives no rows.
+    Only documents of over size tokens are cut, however long they are. Which of several pieces of the same length goes
+    where is open. Other columns of docs, whatever their names, stay out. An empty table gives no rows.
     """
-    local = pieces(docs, vocabulary, size, key, text)
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(size + 1, np.int64)
-        for batch in batches:
-            length = np.asarray(batch.column(batch.schema.get_field_index("length")))
-            order = np.argsort(length, kind="stable")
-            sizes, begin, n = np.unique(length[order], return_index=True, return_counts=True)
-            rank = np.empty(len(length), np.int64)
-            rank[order] = np.arange(len(length)) - np.repeat(begin, n) + seen[length[order]]
-            seen[sizes] += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank)], [*batch.schema.names, "local"])
-
-    numbered = local.mapInArrow(number, "doc_id long, piece int, start long, length long, ids_crc32 long, local long").withColumn("part", F.spark_partition_id())
-    return place(stored(numbered, "pieces"), size)
+    return place(stored(pieces(docs, vocabulary, size, key, text), "pieces"), size)
