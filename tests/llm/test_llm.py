@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -292,15 +293,62 @@ def test_decontamination(spark, odd, none):
     assert decontam.apply_decontamination(odd, bench.where("false")).count() == len(ODD)
 
 
+def brute_items(rows, items):
+    """(row, item) with a window as long as the item that holds 0.8 of its weighted shingles: every window of every text."""
+    split = lambda t: "".join(" " if ord(c) < 127 and not c.isalnum() else c for c in t.lower()).split()
+    grams = lambda w, k: [tuple(w[j : j + k]) for j in range(len(w) - k + 1)]
+    words = {i: split(t or "") for i, t in items}
+    words = {i: w for i, w in words.items() if w}
+    sets = {i: grams(w, min(5, len(w))) for i, w in words.items()}
+    held = Counter(g for x in sets.values() for g in set(x))
+    weight = {g: math.log(1 + len(words) / n) for g, n in held.items()}
+    out = set()
+    for d, t in rows:
+        w = split(t or "")
+        for i, own in words.items():
+            m, k, total = len(own), min(5, len(own)), sum(weight[g] for g in set(sets[i]))
+            if 2 * len(w) >= m and len(w) >= k:
+                for s in range(max(1, len(w) - m + 1)):
+                    if sum(weight[g] for g in set(grams(w[s : s + m], k)) & set(sets[i])) >= 0.8 * total - 1e-12:
+                        out.add((d, i))
+                        break
+    return out
+
+
+@pytest.mark.parametrize("most", [decontam.ITEM_BYTES, 12_000])
+def test_decontamination_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(decontam, "ITEM_BYTES", most)
+    rnd = random.Random(14)
+    words = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.choice([3, 12, 25, 25, 40, 60])))) for i in range(40)]
+    items += [(40, items[5][1]), (41, items[7][1] + " w1"), (42, "la la la la la la la la la")]
+    rows = []
+    for d in range(240):
+        own = [rnd.choice(words) for _ in range(rnd.randrange(90))]
+        for _ in range(rnd.randrange(3)):
+            part = rnd.choice(items)[1].split()
+            for _ in range(rnd.choice([0, 0, 1, 1, 2])):
+                kind, at = rnd.randrange(3), rnd.randrange(len(part))
+                part[at : at + (kind != 0)] = [] if kind == 1 else ["edited"]
+            own[len(own) // 2 : len(own) // 2] = part
+        rows.append((d, " ".join(own)))
+    rows += [(500, None), (501, ""), (502, "la " * 4000), (503, " ".join(words * 30) + " " + items[3][1])]
+    got = decontam.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found, want = {(r["doc_id"], i) for r in got for i in r["item_ids"]}, brute_items(rows, items)
+    assert found <= want and len(found) >= 0.98 * len(want) and len(want) > 100
+
+
 def test_fingerprint_blocks_find_all_within_the_radius():
     rnd = random.Random(9)
-    near = decontam._POP
+    rows = [(i, 9, [rnd.getrandbits(63) for _ in range(5)], [1.0] * 5) for i in range(50)]
+    items = decontam.Items(rows, 1.0)
+    prints = items.of_size[9][1]
     for _ in range(300):
-        a = rnd.getrandbits(64)
-        b = a
-        for i in rnd.sample(range(64), decontam.RADIUS):
-            b ^= 1 << i
-        assert any(near[(a >> 8 * k & 255) ^ (b >> 8 * k & 255)] <= decontam.RADIUS // 8 for k in range(8))
+        i = rnd.randrange(50)
+        mine = prints[i].copy()
+        for bit in rnd.sample(range(decontam.BITS), rnd.choice([0, 5, decontam.RADIUS])):
+            mine[bit // decontam.BLOCK] ^= 1 << bit % decontam.BLOCK
+        assert items.alike(9, mine) == [j for j in range(50) if sum(map(int.bit_count, (prints[j] ^ mine).tolist())) <= decontam.RADIUS]
 
 
 def test_toxicity(spark, odd, none):
