@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from lintel.llm.shared import stored
 
-#: Distinct sites from which a line is boilerplate; characters from which a line counts at all.
-SITES, LEAST_CHARS = 5, 10
+#: Distinct sites from which a line is boilerplate.
+SITES = 5
 #: log2 of a sketch's registers, and how far from SITES, as a part of it, an estimate is not trusted.
 LG_K, MARGIN = 12, 0.1
-#: Percent of a document's characters that may go. With more, line_dedup leaves it whole, and the pipeline's stage does if it is a copy.
+#: Percent of a document's characters that may go before the pipeline's stage asks whether it is a copy.
 MOST_LOST = 50
 #: Words of a shingle, and percent of shared ones, from which the stage takes a text for a copy: those of the pipeline's join.
 WORDS, ALIKE = 5, 80
@@ -38,7 +38,7 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", sites
 def _hashed(docs: DataFrame, *more: Column) -> DataFrame:
     found = docs.select(*(x for x in docs.columns if x != "text"), F.posexplode(_lines(F.coalesce("text", F.lit("")))).alias("at", "line"))
     found = found.select(*(x for x in found.columns if x != "line"), *more, F.trim("line").alias("line"))
-    return found.where(F.length("line") >= LEAST_CHARS).select(*(x for x in found.columns if x not in ("at", "line")), "at", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
+    return found.where("line <> ''").select(*(x for x in found.columns if x not in ("at", "line")), "at", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
 
 
 def _copied(docs: DataFrame, over: DataFrame, text: str) -> DataFrame:
@@ -61,49 +61,52 @@ def _copied(docs: DataFrame, over: DataFrame, text: str) -> DataFrame:
     return each.where("rows > 1").select("_k").union(alike).distinct()
 
 
-def line_dedup(docs: DataFrame, sites: int = SITES, key: str = "doc_id", text: str = "text", site: str = "source", copies_only: bool = False) -> DataFrame:
-    """All columns of docs, `text` without its boilerplate lines, and n_lines, n_removed, lost_chars, left_whole.
+def line_dedup(docs: DataFrame, sites: int = SITES, key: str = "doc_id", text: str = "text", site: str = "source", spare_copies: bool = False) -> DataFrame:
+    """All columns of docs, `text` without its boilerplate lines, and n_lines, n_removed, lost_chars.
 
-    A line (between newlines, spaces trimmed, LEAST_CHARS characters or more) is boilerplate if rows of `sites` distinct
-    sites or more hold it; a null site counts for none. It is removed wherever it stands, repeats included. Where that
-    would take over MOST_LOST percent of a text's characters, the text is left whole and left_whole says so; with
-    copies_only, which the SQL of the query does not have, only if it is also found to be a copy. A null text
-    stays null (n_lines 0). Rows with the same or a null key are told apart by their text. Columns of docs named like the
-    ones added are replaced.
+    A line (between newlines, spaces trimmed, not empty) is boilerplate if rows of `sites` distinct sites or more hold it;
+    a null site counts for none. It is removed wherever it stands, repeats included, whatever share of a text that is. With
+    spare_copies, a text that would lose over MOST_LOST percent of its characters stays whole if it is found to be a copy,
+    as then its lines are shared for that reason. A null text stays null (n_lines 0); very long texts are read whole; no
+    ties arise. Rows with the same or a null key are told apart by their text; repeated rows are treated alike. Columns of
+    docs named like the ones added are replaced. An empty table gives no rows.
     """
-    added = ("n_lines", "n_removed", "lost_chars", "left_whole")
+    added = ("n_lines", "n_removed", "lost_chars")
     docs = docs.drop(*added)
     row = [F.coalesce(F.col(key).cast("long"), F.lit(-(2**62))).alias("_id"), F.xxhash64(text).alias("_h")]
     shared = stored(boilerplate(docs, text, site, sites), "boilerplate")
-    if copies_only:
+    if spare_copies:
         sized = _hashed(docs.select(*row, F.length(text).alias("_n"), F.size(_lines(F.col(text))).alias("_m"), F.col(text).alias("text")), F.length("line").alias("chars")).withColumnsRenamed({"_id": "_i", "_h": "_k"})
         bad = sized.join(shared, ["a", "b"]).groupBy("_i", "_k").agg(F.collect_set(F.struct("at", "chars", "a")).alias("s"), F.count("*").alias("rows"), F.max("_n").alias("_n"), F.max("_m").alias("_m"))
         # A line goes with its newline; a text of nothing else has one newline less than lines.
         lost = F.aggregate("s", F.lit(0), lambda x, y: x + y["chars"] + 1) - F.when(F.size("s") == F.col("_m"), 1).otherwise(0)
-        bad = stored(bad.select("_i", "_k", F.col("s.at").alias("_bad"), F.array_distinct("s.a").alias("tokens"), (F.col("rows") / F.size("s")).cast("long").alias("rows"), (100 * lost > MOST_LOST * F.col("_n")).alias("over")), "bad")
+        over = (100 * lost > MOST_LOST * F.col("_n")).alias("over")
+        bad = stored(bad.select("_i", "_k", F.col("s.at").alias("_bad"), F.array_distinct("s.a").alias("tokens"), (F.col("rows") / F.size("s")).cast("long").alias("rows"), over), "bad")
         copied = _copied(docs.select(*row, text), bad.where("over"), text)
-        bad = bad.join(copied.withColumn("_copy", F.lit(True)), "_k", "left").select("_i", "_k", "_bad", (F.col("over") & F.coalesce("_copy", F.lit(False))).alias("_copy"))
+        bad = bad.join(copied.withColumn("_copy", F.lit(True)), "_k", "left").where(~(F.col("over") & F.coalesce("_copy", F.lit(False)))).select("_i", "_k", "_bad")
     else:
         lines = _hashed(docs.select(*row, F.col(text).alias("text"))).withColumnsRenamed({"_id": "_i", "_h": "_k"})
         bad = lines.join(shared, ["a", "b"]).groupBy("_i", "_k").agg(F.collect_set("at").alias("_bad"))
     both = docs.select("*", *row).join(bad, (F.col("_id") == F.col("_i")) & (F.col("_h") == F.col("_k")), "left")
     both = both.withColumn("_bad", F.coalesce("_bad", F.array().cast("array<int>"))).withColumn("_lines", _lines(F.col(text)))
-    both = both.withColumn("_kept", F.when(F.size("_bad") == 0, F.col(text)).otherwise(F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_bad", i)), "\n")))
-    both = both.withColumn("_lost", F.coalesce(F.length(text) - F.length("_kept"), F.lit(0)).cast("long"))
-    both = both.withColumn("left_whole", F.coalesce(F.col("_copy") if copies_only else 100 * F.col("_lost") > MOST_LOST * F.length(text), F.lit(False)))
-    gone = F.when(F.col("left_whole"), F.lit(0).cast("long"))
+    # A set difference takes time linear in the lines, as a search of each line among the bad ones would not.
+    left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_bad")))
+    kept_lines = F.array_join(F.transform(left, lambda i: F.col("_lines")[i]), "\n")
+    both = both.withColumn("_kept", F.when(F.size("_bad") == 0, F.col(text)).otherwise(kept_lines))
     kept = {
-        text: F.when(F.col("left_whole"), F.col(text)).otherwise(F.col("_kept")),
+        text: F.col("_kept"),
         "n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long"),
-        "n_removed": gone.otherwise(F.size("_bad").cast("long")),
-        "lost_chars": gone.otherwise(F.col("_lost")),
+        "n_removed": F.size("_bad").cast("long"),
+        "lost_chars": F.coalesce(F.length(text) - F.length("_kept"), F.lit(0)).cast("long"),
     }
-    return both.select(*(kept[c].alias(c) if c in kept else F.col(c) for c in docs.columns), *(kept[c].alias(c) for c in added[:3]), "left_whole")
+    return both.select(*(kept[c].alias(c) if c in kept else F.col(c) for c in docs.columns), *(kept[c].alias(c) for c in added))
 
 
 def apply_line_dedup(docs: DataFrame) -> DataFrame:
-    """The pipeline stage: the columns of docs, with texts and their sizes as line_dedup leaves them; only copies stay whole."""
-    found = line_dedup(docs, copies_only=True)
+    """The pipeline stage: the columns of docs, with texts and their sizes as line_dedup leaves them, but for copies that
+    their own lines would make boilerplate of: the document-level join decides about these. No row goes; null and empty
+    texts, repeated rows, rows without an id and an empty table are as line_dedup says."""
+    found = line_dedup(docs, spare_copies=True)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast("long"))
     return found.select(docs.columns)

@@ -1,16 +1,15 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from lintel.llm.quality import BOILERPLATE
+
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
 OP3 = r"""
 with l as (select doc_id, source, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) p from documents),
-bad as (select trim(line, ' ') k from l where length(trim(line, ' ')) >= 10 group by 1 having count(distinct source) >= 5),
+bad as (select trim(line, ' ') k from l where length(trim(line, ' ')) >= 1 group by 1 having count(distinct source) >= 5),
 m as (select l.doc_id, l.p, l.line, bad.k is not null gone from l left join bad on trim(l.line, ' ') = bad.k),
-d as (select doc_id, count(*) n_lines, count(*) filter (gone) n, string_agg(line, chr(10) order by p) filter (not gone) kept from m group by doc_id),
-e as (select d.*, t.text, length(t.text) - length(coalesce(kept, '')) lost from d join documents t using (doc_id)),
-f as (select *, 100 * lost > 50 * length(text) left_whole from e)
-select doc_id, n_lines, case when left_whole then 0 else n end n_removed, case when left_whole then 0 else lost end lost_chars, left_whole,
-  md5(case when left_whole then text else coalesce(kept, '') end) kept_md5 from f
+d as (select doc_id, count(*) n_lines, count(*) filter (gone) n_removed, string_agg(line, chr(10) order by p) filter (not gone) kept from m group by doc_id)
+select doc_id, n_lines, n_removed, length(t.text) - length(coalesce(kept, '')) lost_chars, md5(coalesce(kept, '')) kept_md5 from d join documents t using (doc_id)
 """
 
 OP7 = """
@@ -20,21 +19,21 @@ from conversations
 """
 
 OP9 = r"""
-with w as (select doc_id, text, %s ws from documents),
+with w as (select doc_id, text, @WORDS@ ws from documents),
 g as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] t from (select doc_id, ws, unnest(range(1, len(ws) - 1)) i from w)),
 r as (select doc_id, i from (select *, count(*) over (partition by doc_id, t) n from g) where n > 1),
 rep as (select doc_id, count(distinct j) n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) j from r) group by 1),
 l as (select doc_id, unnest(string_split(text, chr(10))) line from documents),
-ll as (select doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) n, len(regexp_extract_all(line, '[#*$%%&|<>]')) sym,
-  len(regexp_extract_all(line, '!!')) ex, len(regexp_extract_all(line, '\|')) bars, regexp_matches(lower(line), 'cookie policy|privacy policy|terms of use|terms of service|all rights reserved|enable javascript|javascript is disabled|lorem ipsum|subscribe to our newsletter|click here to|sign up for|skip to content') phrase from l),
+ll as (select doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) n, len(regexp_extract_all(line, '[#*$%&|<>]')) sym,
+  len(regexp_extract_all(line, '!!')) ex, len(regexp_extract_all(line, '[|›•·]')) bars, regexp_matches(line, '[.!?:;,)\]"''…»”’。！？][ \t\x0b\x0c\r]*$') ended, regexp_matches(lower(line), '@PHRASES@') phrase from l),
 lm as (select doc_id, count(*) n_lines, count(*) - count(distinct line) n_dup_lines, count(*) filter (bad) n_lines_removed, coalesce(sum(length(line)) filter (bad), 0) lost_chars, sum(length(line)) line_chars
-  from (select *, 2 * sym > n or 2 * ex > n or (bars >= 2 and 4 * bars >= n) or phrase bad from ll where n > 0) group by 1),
-m as (select w.doc_id, len(ws) n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) word_chars, len(regexp_extract_all(text, '[#*$%%&|<>]')) n_symbols,
+  from (select *, (n < 20 and not ended) or 2 * sym > n or 2 * ex > n or (bars >= 2 and 4 * bars >= n) or phrase bad from ll where n > 0) group by 1),
+m as (select w.doc_id, len(ws) n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) n_symbols,
   coalesce(n_dup_lines, 0) n_dup_lines, coalesce(n_repeat_words, 0) n_repeat_words, coalesce(n_lines, 0) n_lines, coalesce(n_lines_removed, 0) n_lines_removed, coalesce(lost_chars, 0) lost_chars, coalesce(line_chars, 0) line_chars
   from w left join rep using (doc_id) left join lm using (doc_id))
 select doc_id, n_words, word_chars::bigint word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) base_failed, n_lines, n_lines_removed, lost_chars::bigint lost_chars, line_chars::bigint line_chars,
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 100 * lost_chars <= 40 * line_chars kept from m
-""" % _WORDS
+""".replace("@WORDS@", _WORDS).replace("@PHRASES@", "|".join(BOILERPLATE))
 
 OP10 = """
 with p as (select page_id, coalesce(html, '') html from pages),

@@ -14,24 +14,37 @@ from lintel.llm.shared import rows_of
 from lintel.llm.words import parts, shingles, texts, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
-#: Lower-case phrases of lines that frame a page instead of saying something.
-BOILERPLATE = ("cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript", "javascript is disabled", "lorem ipsum", "subscribe to our newsletter", "click here to", "sign up for", "skip to content")
+#: Lower-case parts, in ASCII, of lines that frame a page instead of saying something: English, French, German, Spanish.
+BOILERPLATE = (
+    "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript", "javascript is disabled", "lorem ipsum", "subscribe to our newsletter", "click here to", "sign up for", "skip to content",
+    "politique de confidentialit", "politique de cookies", "mentions l.gales", "conditions d.utilisation", "tous droits r.serv", "activer javascript", "cliquez ici", "aller au contenu",
+    "datenschutzerkl", "cookie-richtlinie", "nutzungsbedingungen", "alle rechte vorbehalten", "impressum", "javascript aktivieren", "hier klicken", "zum inhalt springen",
+    "de privacidad", "de cookies", "aviso legal", "rminos de uso", "condiciones de uso", "todos los derechos reservados", "active javascript", "haga clic", "saltar al contenido",
+)
+#: What separates entries of a menu, and what a sentence ends with.
+BARS, ENDS = "|\u203a\u2022\u00b7", ".!?:;,)]\"'\u2026\u00bb\u201d\u2019\u3002\uff01\uff1f"
+#: Words from which a line is prose, however it ends.
+PROSE = 20
 #: Percent of the characters of lines with a word that a document may lose.
 MOST_LOST = 40
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_lines long, n_lines_removed long, lost_chars long, line_chars long, kept boolean, cleaned string"
 
-_phrases = re.compile(b"|".join(re.escape(x.encode()) for x in BOILERPLATE))
+_phrases = re.compile("|".join(BOILERPLATE))
+_bars = re.compile(f"[{re.escape(BARS)}]")
 
 
 def line_fails(line: bytes) -> bool:
-    """The rules for a line with a word. Symbols: more than one for two words. Exclamations: more than one run of '!!'
-    for two words. Navigation: two bars or more, and one for every four words. Boilerplate: one of the phrases."""
+    """The rules for a line with a word. Punctuation: under PROSE words, and no mark at its end that ends a sentence,
+    a part of one or a quote. Symbols: more than one for two words. Exclamations: more than one run of '!!' for two words. Navigation: two bars or
+    more, and one for every four words. Boilerplate: one of the phrases, where letters beyond ASCII may be any."""
     words = len(line.split())
+    written = line.decode()
     return (
-        2 * (len(line) - len(line.translate(None, SYMBOLS))) > words
+        words < PROSE and written.rstrip(" \t\x0b\x0c\r")[-1:] not in ENDS
+        or 2 * (len(line) - len(line.translate(None, SYMBOLS))) > words
         or 2 * line.count(b"!!") > words
-        or (bars := line.count(b"|")) >= 2 and 4 * bars >= words
-        or _phrases.search(line.lower()) is not None
+        or (bars := len(_bars.findall(written))) >= 2 and 4 * bars >= words
+        or _phrases.search(written.lower()) is not None
     )
 
 
@@ -65,7 +78,8 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """One row for each row of docs with its measures, `kept`, and the `cleaned` text (what is left of the lines).
 
     Words are `[^\\x20\\x09-\\x0D]+`. A null text counts as an empty one: no words, base_failed, not kept. A null key stays
-    null; repeated rows are judged each. Very long texts are read whole. One pass, no shuffle.
+    null; repeated rows are judged each. Very long texts are read whole. Other columns, whatever their names, stay out; an
+    empty table gives no rows. One pass, no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +95,8 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def apply_quality(docs: DataFrame) -> DataFrame:
-    """The pipeline stage: rejected documents go, the others keep the text that is left of their lines."""
+    """The pipeline stage: rejected documents (all with a null text among them) go, the others keep all their columns, and
+    the text that is left of their lines. Repeated rows and rows without an id are judged each; an empty table stays empty."""
     # The verdict travels with the row, so that no join is needed to take the other columns along.
     fields = [f.name for f in docs.schema]
 

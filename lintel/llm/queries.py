@@ -31,7 +31,7 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lintel.llm.line_dedup import line_dedup
 
-    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "lost_chars", "left_whole", F.md5("text").alias("kept_md5"))
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "lost_chars", F.md5("text").alias("kept_md5"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,7 +245,7 @@ def test_line_dedup(spark, odd, none):
     rows = [(i, f"own {i} text that is long enough to stay\n{line}", "en", f"s{i % 6}", None) for i in range(12)] + [(50, line, "en", None, None), (51, f"{line}\n{line}", "en", "s1", None), (52, "near the threshold line", "en", "s1", None), *((60 + i, f"only here {i} and a few more words\nfour sites have this", "en", f"s{i}", None) for i in range(4))]
     got = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOCS)).collect()}
     assert all(got[i]["text"] == f"own {i} text that is long enough to stay" and got[i]["n_removed"] == 1 for i in range(12))
-    assert got[50]["left_whole"] and got[50]["text"] == line and got[51]["left_whole"] and got[60]["n_removed"] == 0
+    assert got[50]["text"] == "" and got[51]["text"] == "" and got[51]["n_removed"] == 2 and got[51]["lost_chars"] == 2 * len(line) + 1 and got[60]["n_removed"] == 0
     assert line_dedup.line_dedup(odd).count() == len(ODD) and line_dedup.line_dedup(none).count() == 0
     assert [r["text"] for r in line_dedup.line_dedup(odd).where("doc_id = 1").collect()] == [None]
 
@@ -269,6 +269,8 @@ def test_quality(odd, none):
     n, chars, symbols, dup, rep, failed, *_, kept, cleaned = quality.judge(("a b c x\na b c x\nmenu | home | about\n" + "é" * 3 + " word" * 3).encode())
     assert (n, symbols, dup, rep, failed, kept) == (17, 2, 1, 8, True, False) and chars == 38 and b"menu" not in cleaned
     good = " ".join(f"word{i}" for i in range(60)) + "."
+    assert all(quality.line_fails(x.encode()) for x in ("A heading without an end", "Startseite \u203a Hilfe \u203a Suche.", "Alle Rechte vorbehalten.", "Todos los derechos reservados.", "Mentions l\u00c9gales et tout le reste.", "Buy!! now!!"))
+    assert not any(quality.line_fails(x.encode()) for x in ("A sentence.", "\u00ab Oui. \u00bb", "so it goes," , "word " * 20, "\u4f60\u597d\u3002", "One bar | here it is, on its own."))
     assert quality.judge(good.encode())[-2] and not quality.judge((good + "\n" + "Buy!! now!! " * 60).encode())[-2]
     assert quality.quality(none).count() == 0 and quality.apply_quality(none).count() == 0
 
