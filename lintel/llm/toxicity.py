@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from lintel.llm.shared import stored
 from lintel.llm.words import columns, parts
 
-#: Most labelled rows that entries of lexicons are learned from, and most rows that the classifier is fitted on.
+#: Most labelled rows of a fold that entries of a lexicon are learned from, and most rows that the classifier is fitted on.
 MOST_LABELLED, MOST_FITTED = 12_000, 20_000
 #: An entry has to be so many times as frequent in toxic rows, and to be in so many of them.
 LIFT, LEAST_ROWS = 40, 4
@@ -32,8 +33,8 @@ PATTERNS = (r"\byou (?:are|re) (?:such )?an? \w+ (?:and|piece)", r"\bshut up\b",
 #: Lengths of the beginnings of words that make up the pattern voters which are learned.
 BEGINNINGS = (4, 5, 6, 7)
 VOTERS = ("insults", "several insults", "phrases", "words, even", "words, odd", *(f"beginnings of {n}" for n in BEGINNINGS), "a beginning of several words", "several entries", "nothing found")
-#: Which of the rows that may be learned from give entries; the others tell how far to trust the voters.
-MINED = 0
+#: The folds that may be learned from: each gives entries, and tells how far to trust voters with the other's entries.
+USABLE = tuple(x for x in range(FOLDS) if x != HELD_OUT)
 
 _MARKS = {i: " " for i in [*range(33, 65), *range(91, 97), *range(123, 127)]}
 _phrases = re.compile("|".join(PATTERNS))
@@ -89,21 +90,22 @@ def held_out(key) -> F.Column:
     return F.coalesce(F.crc32(key.cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, mined: bool, what: str = "text") -> DataFrame:
-    """Rows with a label that may be learned from, for entries or for trust: MOST_LABELLED at most, chosen by a hash of the id."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
-    part = F.crc32(F.col("doc_id").cast("string")) % FOLDS == MINED
-    rows = rows.where(part if mined else ~part).orderBy(F.xxhash64("doc_id"), "toxic").limit(MOST_LABELLED).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.where("doc_id is not null").where(~held_out(F.col("doc_id"))).join(F.broadcast(rows), "doc_id").select("doc_id", what, "toxic")
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic, fold): rows with a label that may be learned from, MOST_LABELLED of a fold at most, chosen by a
+    hash of the id."""
+    fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").withColumn("fold", fold)
+    some = [known.where(F.col("fold") == x).orderBy(F.xxhash64("doc_id"), "toxic").limit(MOST_LABELLED) for x in USABLE]
+    rows = functools.reduce(DataFrame.union, some).groupBy("doc_id", "fold").agg(F.max("toxic").alias("toxic"))
+    return docs.where("doc_id is not null").where(~held_out(F.col("doc_id"))).join(F.broadcast(rows), "doc_id").select("doc_id", "text", "toxic", "fold")
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, float]:
-    """Entries that mark toxic rows among the labelled ones, and the share of toxic rows.
+def learn_lexicon(rows: DataFrame) -> tuple[Lexicon, int, int]:
+    """Entries that mark toxic rows among labelled ones (text, toxic), and the numbers of toxic and of clean rows.
 
     Of the words and beginnings with enough lift, a greedy cover picks entries while they help rows that have fewer than
     COVER; words that only copies of one text share help no row that the true marks cover already.
     """
-    rows = _labelled(docs, labels, True)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean, n = Counter(), Counter(), [0, 0]
@@ -114,11 +116,11 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, float]:
         names = [*toxic, *(x for x in clean if x not in toxic), ""]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*(toxic[x] for x in names[:-1]), n[1]], pa.int64()), pa.array([*(clean[x] for x in names[:-1]), n[0]], pa.int64())], ["entry", "toxic", "clean"])
 
-    counts = rows.where("toxic in (0, 1)").mapInArrow(count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = rows.mapInArrow(count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     some = counts.where(f"toxic >= {LEAST_ROWS} or entry = ''").where("entry = '' or clean * 20 <= toxic").collect()  # of MOST_LABELLED rows at most
     total = next((r for r in some if not r["entry"]), None)
     if not total or not total["toxic"] or not total["clean"]:
-        return Lexicon(), 0.05
+        return Lexicon(), total["toxic"] if total else 0, total["clean"] if total else 0
     able = {r["entry"] for r in some if r["entry"] and r["toxic"] / total["toxic"] >= LIFT * (r["clean"] + 0.5) / total["clean"]}
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +151,12 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, float]:
         chosen[x] = len(chosen)
         for i in having[x]:
             need[i] -= 1
-    return Lexicon(chosen), total["toxic"] / (total["toxic"] + total["clean"])
+    return Lexicon(chosen), total["toxic"], total["clean"]
+
+
+def merged(lexicons: list[Lexicon]) -> Lexicon:
+    names = dict.fromkeys(x for lexicon in lexicons for x in lexicon.entries)
+    return Lexicon({x: i for i, x in enumerate(names)})
 
 
 def label_model(patterns: dict[int, int], known: dict[tuple[int, int], int], prior: float, rounds: int = 60) -> dict[int, float]:
@@ -214,25 +221,40 @@ def _vote_columns(code: int, width: int) -> list[int]:
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted, posterior) for each row of docs.
 
-    Labels (doc_id, toxic) are read only of rows that aren't held out; they give the lexicons' entries and the share of
-    toxic rows. The votes of all rows are counted by pattern (3 ** voters at most), the label model turns patterns into
-    posteriors, and a linear classifier fitted on posteriors of at most MOST_FITTED rows gives the score. Whole texts are
-    scored; null and empty ones like any text without entries. A null doc_id is not held out. Repeated rows are scored each. Without usable labels the fixed voters
-    remain, with a prior of 0.05. No text is shuffled.
+    Labels (doc_id, toxic) are read only of rows that aren't held out. Each of the two folds that remain gives entries; its
+    labels also tell how far to trust voters that have the other fold's entries, so that no row tells of what it was
+    learned from. The votes of all rows, with the entries of both, are counted by pattern (3 ** voters at most), the label
+    model turns patterns into posteriors, and a linear classifier fitted on posteriors of at most MOST_FITTED rows gives
+    the score. Whole texts are scored, very long ones too; null and empty ones like any text without entries. A null
+    doc_id is not held out. Repeated rows are scored each; a doc_id with labels 0 and 1 is toxic. Other columns, whatever
+    their names, stay out; an empty table gives no rows. Without usable labels the fixed voters remain, with a prior of
+    0.05. No text is shuffled.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    lexicon, prior = learn_lexicon(docs, labels)
-    held = docs.sparkSession.sparkContext.broadcast(lexicon)  # entries of MOST_LABELLED rows at most
+    known_rows = stored(labelled(docs, labels), "labelled")
+    learned = {x: learn_lexicon(known_rows.where(F.col("fold") == x)) for x in USABLE}
+    lexicon = merged([x for x, _, _ in learned.values()])
+    toxic, every = sum(x[1] for x in learned.values()), sum(x[1] + x[2] for x in learned.values())
+    prior = toxic / every if 0 < toxic < every else 0.05
+    held = docs.sparkSession.sparkContext.broadcast(lexicon)  # entries of MOST_LABELLED rows a fold at most
+    others = {x: merged([learned[y][0] for y in USABLE if y != x]) for x in USABLE}
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             found = [held.value.found(text) for text in columns(batch, "text")[0]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.int64())], ["doc_id", "hits", "code"])
 
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            codes = [others[fold].found(text)[1] for text, fold in zip(*columns(batch, "text", "fold"), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), batch.column(batch.schema.get_field_index("toxic"))], ["code", "toxic"])
+
     votes = stored(docs.mapInArrow(vote, "doc_id long, hits array<int>, code long").withColumn("held_out", held_out(F.col("doc_id"))), "votes")
     patterns = {r["code"]: r["n"] for r in votes.groupBy("code").agg(F.count("*").alias("n")).collect()}
-    trusted = _labelled(votes, labels, False, "code")
-    known = {(r["code"], int(r["toxic"] > 0)): r["n"] for r in trusted.groupBy("code", "toxic").agg(F.count("*").alias("n")).collect()}
+    trusted = known_rows.mapInArrow(judge, "code long, toxic int").groupBy("code", "toxic").agg(F.count("*").alias("n"))
+    known = {(r["code"], r["toxic"]): r["n"] for r in trusted.collect()}  # of 3 ** voters at most
+    # A pattern that only labelled rows show, with the other fold's entries, counts for the chances of votes as well.
+    patterns |= {code: 0 for code, _ in known if code not in patterns} if patterns else {}
     posterior = label_model(patterns, known, prior) if patterns else {}
     part = int(1_000_000 * min(1.0, 0.9 * MOST_FITTED / max(1, sum(patterns.values()))))
     chosen = votes.where("doc_id is not null and not held_out").where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < part)
