@@ -264,3 +264,14 @@ def transformed(text: Column, name: str) -> Column:
             yield batch.map(lambda x: transform(name, x), na_action="ignore")
 
     return run(text)
+
+
+def transformed_by(text: Column, name: Column) -> Column:
+    """The transform that each row names; texts that stay raw don't go to Python."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, names in batches:
+            yield pd.Series([None if t is None else transform(n, t) for t, n in zip(texts, names, strict=True)], dtype=object)
+
+    return F.coalesce(run(F.when(name != "raw", text), name), text)

@@ -133,10 +133,12 @@ def to_java(pattern: str, backtracking: bool = False) -> str:
     return out
 
 
-def required_literal(pattern: str, least: int = 3) -> str | None:
-    """A string that every match holds, if one is plain to see: the longest run of literal characters outside groups."""
-    if re.search(r"\(\?[a-zA-Z]*i|\||\\Q", pattern):
+def required_literal(pattern: str, least: int = 1) -> str | None:
+    """A string that every match holds, if one is plain to see: the longest run of literal characters outside groups. Where
+    case is folded, letters don't count."""
+    if "\\Q" in pattern:
         return None
+    folded = re.search(r"\(\?[a-zA-Z]*i", pattern)
     runs, now, i, depth = [], "", 0, 0
     while i < len(pattern):
         c, literal, start = pattern[i], None, i
@@ -153,7 +155,11 @@ def required_literal(pattern: str, least: int = 3) -> str | None:
                 return None
         else:
             depth += (c == "(") - (c == ")")
+            if c == "|" and not depth:
+                return None
             literal, i = (c if c not in "^$.()*+?{}" else None), i + 1
+        if folded and literal is not None and (literal.isalpha() or not literal.isascii()):
+            literal = None
         optional = pattern[i : i + 1] in ("*", "?") or bool(re.match(r"\{0", pattern[i:]))
         repeated = pattern[i : i + 1] in ("+", "{")
         if literal is not None and depth == 0 and not optional:
@@ -203,3 +209,12 @@ def glob_to_regex(glob: str) -> str:
         else:
             out, i = out + re.escape(c), i + 1
     return rf"(?s)\A{out}\z"
+
+
+def gate_of(pattern: str, backtracking: bool = False) -> str | None:
+    """A JVM pattern that matches somewhere in a text if `pattern` matches one of its lines; None where none is plain to see.
+
+    Anchors of the line become those of any line. What crosses lines makes the gate wider only; look-around could narrow it."""
+    if backtracking or re.search(r"\\[Az]|\(\?[a-zA-Z]*-[a-zA-Z]*m", pattern):
+        return None
+    return to_java(f"(?m:{pattern})")

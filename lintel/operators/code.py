@@ -145,22 +145,27 @@ def _named(funcs: DataFrame, params: Mapping[str, Any]) -> DataFrame:
     return funcs.where(F.col("func").rlike(java(params, params["funcs"]))) if params.get("funcs") else funcs
 
 
-def _dead(rows: DataFrame, test: Any, what: str) -> DataFrame:
-    """A finding about the scope if nothing passes a test that a rule is anchored to."""
-    return rows.agg(F.coalesce(F.max(test), F.lit(False)).alias("alive")).where("not alive").select(*finding(f"anchor matches nothing: {what}", NO_LINE, F.lit(NO_PATH)))
+def _sources(files: DataFrame, language: str) -> DataFrame:
+    return files.where(F.col("path").endswith(f".{language}"))
+
+
+def _dead(files: DataFrame, rows: DataFrame, test: Any, what: str) -> DataFrame:
+    """A finding about the scope if it holds files, and nothing in them passes a test that a rule is anchored to."""
+    seen = rows.select(test.alias("alive")).union(files.select(F.lit(False)))
+    return seen.agg(F.max("alive").alias("alive")).where("alive = false").select(*finding(f"anchor matches nothing: {what}", NO_LINE, F.lit(NO_PATH)))
 
 
 @rule_type("go/func-line-budget", "max_lines", "funcs", cost="range")
 def func_line_budget(files: DataFrame, params: Mapping[str, Any]) -> DataFrame:
     """Functions whose body spans more lines than max_lines."""
-    found = _named(functions_of(files), params).where(F.col("body_span") > int(params["max_lines"]))
+    found = _named(functions_of(_sources(files, "go")), params).where(F.col("body_span") > int(params["max_lines"]))
     return found.select(*finding(F.format_string(f"func %s spans %d lines, most are {params['max_lines']}", "func", "body_span"), "decl_line"))
 
 
 @rule_type("go/call-confined-to-func-name", "symbol allowed_func", "", cost="range")
 def call_confined(files: DataFrame, params: Mapping[str, Any]) -> DataFrame:
     """Calls of a symbol outside functions whose name is allowed."""
-    found = _calls_of(functions_of(files)).where(F.col("selector").rlike(java(params, params["symbol"])) & ~F.col("func").rlike(java(params, params["allowed_func"])))
+    found = _calls_of(functions_of(_sources(files, "go"))).where(F.col("selector").rlike(java(params, params["symbol"])) & ~F.col("func").rlike(java(params, params["allowed_func"])))
     return found.select(*finding(F.format_string("%s is called in %s", "selector", "func"), "line"))
 
 
@@ -170,15 +175,17 @@ def call_order(files: DataFrame, params: Mapping[str, Any]) -> DataFrame:
     stages = params["sequence"]
     if len(stages) < 2:
         raise ConfigError("a sequence has two stages at least")
-    funcs = _named(functions_of(files), params)
-    rows = _calls_of(funcs)
+    files = _sources(files, "go")
+    every = functions_of(files)
+    funcs, rows = _named(every, params), _calls_of(every)
     hit = [F.col("selector").rlike(java(params, s)) for s in stages]
-    by = rows.groupBy("path", "func", "decl_line").agg(*(F.max(F.when(h, F.struct("pos", "line"))).alias(f"last{i}") for i, h in enumerate(hit)), *(F.min(F.when(h, F.col("pos"))).alias(f"first{i}") for i, h in enumerate(hit)))
-    out = _dead(funcs, F.lit(True), params.get("funcs", "any function"))
+    own = _calls_of(funcs)
+    by = own.groupBy("path", "func", "decl_line").agg(*(F.max(F.when(h, F.col("pos"))).alias(f"last{i}") for i, h in enumerate(hit)), *(F.min(F.when(h, F.struct("pos", "line"))).alias(f"first{i}") for i, h in enumerate(hit)))
+    out = _dead(files, funcs, F.lit(True), params.get("funcs", "any function"))
     for i in range(len(stages) - 1):
-        out = out.union(by.where(f"last{i}.pos > first{i + 1}").select(*finding(f"{stages[i]} is called after {stages[i + 1]}", f"last{i}.line")))
-    for i, s in enumerate(stages):
-        out = out.union(_dead(rows, hit[i], s))
+        out = out.union(by.where(f"last{i} > first{i + 1}.pos").select(*finding(f"{stages[i]} is called after {stages[i + 1]}", f"first{i + 1}.line")))
+    for i, s in enumerate(stages):  # in any function: a rename of functions is one finding, not one for each stage too
+        out = out.union(_dead(files, rows, hit[i], s))
     return out
 
 
@@ -187,27 +194,33 @@ def guard_precedes(files: DataFrame, params: Mapping[str, Any]) -> DataFrame:
     """Calls of a sink without an earlier call of the guard in the same function; a call doesn't guard itself."""
     before = Window.partitionBy("path", "func", "decl_line").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     guard, sink = (F.col("selector").rlike(java(params, params[x])) for x in ("guard", "sink"))
-    rows = _calls_of(_named(functions_of(files), params)).withColumn("sink", sink).withColumn("guarded", F.coalesce(F.max(guard).over(before), F.lit(False)))
+    rows = _calls_of(_named(functions_of(_sources(files, "go")), params)).withColumn("sink", sink).withColumn("guarded", F.coalesce(F.max(guard).over(before), F.lit(False)))
     return rows.where("sink and not guarded").select(*finding(F.format_string(f"%s without an earlier {params['guard']}", "selector"), "line"))
 
 
 @rule_type("go/per-func-count-relation", "left right relation", "funcs require_symbol require_used", cost="range", whole=lambda p: bool(p.get("funcs") or p.get("require_symbol")))
 def count_relation(files: DataFrame, params: Mapping[str, Any]) -> DataFrame:
     """In each function, the number of left calls stands in a relation (<=, ==, >=) to that of right calls; functions
-    without calls count 0 and 0. require_used: left calls count only if their results are used."""
+    without calls count 0 and 0. require_used and require_symbol name a side (left, right, both): its calls count only if
+    their results are used; it has to match some call of any function in the scope."""
     wrong = {"<=": "l > r", "==": "l <> r", ">=": "l < r"}
     if params["relation"] not in wrong:
         raise ConfigError(f"unknown relation {params['relation']!r}")
-    funcs = _named(functions_of(files), params)
-    left, right = (java(params, params[x]) for x in ("left", "right"))
-    used = bool(params.get("require_used"))
-    n = lambda regex, only: F.size(F.filter("calls", lambda c: c.selector.rlike(regex) & (c.used if only else F.lit(True))))
-    rows = funcs.select("path", "func", "decl_line", "calls", n(left, used).alias("l"), n(right, False).alias("r"))
+    for x in ("require_symbol", "require_used"):
+        if params.get(x, "") not in ("", "left", "right", "both"):
+            raise ConfigError(f"{x} is left, right or both, not {params[x]!r}")
+    files = _sources(files, "go")
+    every = functions_of(files)
+    funcs, regex = _named(every, params), {x: java(params, params[x]) for x in ("left", "right")}
+    of = lambda x, side: params.get(x) in (side, "both")
+    n = lambda side: F.size(F.filter("calls", lambda c: c.selector.rlike(regex[side]) & (c.used if of("require_used", side) else F.lit(True))))
+    rows = funcs.select("path", "func", "decl_line", n("left").alias("l"), n("right").alias("r"))
     out = rows.where(wrong[params["relation"]]).select(*finding(F.format_string(f"func %s: %d {params['left']}, %d {params['right']}, want {params['relation']}", "func", "l", "r"), "decl_line"))
     if params.get("funcs"):
-        out = out.union(_dead(funcs, F.lit(True), params["funcs"]))
-    if symbol := params.get("require_symbol"):
-        out = out.union(_dead(rows, F.exists("calls", lambda c: c.selector.rlike(java(params, symbol))), symbol))
+        out = out.union(_dead(files, funcs, F.lit(True), params["funcs"]))
+    for side in ("left", "right"):
+        if of("require_symbol", side):
+            out = out.union(_dead(files, every, F.exists("calls", lambda c: c.selector.rlike(regex[side])), params[side]))
     return out
 
 
@@ -267,16 +280,17 @@ def _methods(files: DataFrame, pattern: str) -> DataFrame:
 @rule_type("dart/method-delegates", "method must_call", "", cost="tree", whole=True)
 def method_delegates(files: DataFrame, params: Mapping[str, Any]) -> DataFrame:
     """Methods that don't call what they must; a method pattern that matches nothing is a finding."""
+    files = _sources(files, "dart")
     rows = _methods(files, java(params, params["method"]))
     found = rows.where(~F.col("code").rlike(java(params, params["must_call"])))
-    return found.select(*finding(F.format_string(f"%s doesn't call {params['must_call']}", "name"), "line")).union(_dead(rows, F.lit(True), params["method"]))
+    return found.select(*finding(F.format_string(f"%s doesn't call {params['must_call']}", "name"), "line")).union(_dead(files, rows, F.lit(True), params["method"]))
 
 
 @rule_type("dart/ref-after-await", "method access guard", "", cost="range")
 def ref_after_await(files: DataFrame, params: Mapping[str, Any]) -> DataFrame:
     """Accesses behind an await of the same method, unless the line or the `if` line right before is guarded."""
     access, guard = java(params, params["access"]), java(params, params["guard"])
-    rows = _methods(files, java(params, params["method"])).select("path", "line", F.posexplode(F.split("code", "\n", -1)).alias("k", "text"))
+    rows = _methods(_sources(files, "dart"), java(params, params["method"])).select("path", "line", F.posexplode(F.split("code", "\n", -1)).alias("k", "text"))
     by = Window.partitionBy("path", "line").orderBy("k")
     rows = rows.withColumn("awaited", F.coalesce(F.max(F.col("text").rlike(r"\bawait\b")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))).withColumn("above", F.lag("text", 1, "").over(by))
     guarded = F.col("text").rlike(guard) | (F.col("above").rlike(r"\bif\b") & F.col("above").rlike(guard))

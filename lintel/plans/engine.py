@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import operator
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,10 +17,11 @@ import lintel.operators.patterns  # noqa: F401
 import lintel.operators.relations  # noqa: F401
 import lintel.operators.sqltext  # noqa: F401
 from lintel.functions.declarations import homes_of, marked_lines, masked
-from lintel.functions.lexers import transformed
-from lintel.functions.patterns import glob_to_regex, required_literal, to_java
+from lintel.functions.lexers import transformed, transformed_by
+from lintel.functions.patterns import glob_to_regex, to_java
 from lintel.plans.rules import TYPES, ConfigError, Rule
-from lintel.schema import NO_LINE, NO_PATH, lines_array, lines_of, ordered
+from lintel.schema import NO_LINE, NO_PATH, lines_array, ordered
+from lintel.session import ship
 
 
 def any_glob(globs: Iterable[str], path: str = "path") -> Column:
@@ -40,24 +42,6 @@ def in_scope(files: DataFrame, rule: Rule, tests: Sequence[str] = ()) -> DataFra
     return files
 
 
-def _plain(rule: Rule) -> bool:
-    return rule.type == "forbidden-pattern" and set(rule.params) <= {"pattern", "prefilter", "syntax"} and rule.preprocess == "raw" and not rule.production and not rule.generated and not rule.not_declaring
-
-
-def _fused(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Plain line rules share one pass: files are gated by literals, exploded once, and each line tells the rules that hit."""
-    gates = []
-    for r in rules:
-        scope = in_scope_test(r)
-        literal = r.params.get("prefilter") or required_literal(r.params["pattern"])
-        gates.append(scope & F.col("text").contains(literal) if literal else scope)
-    files = files.withColumn("live", F.array(*gates)).where(F.exists("live", lambda x: x))
-    lines = lines_of(files, "live")
-    tests = [F.when(F.col("live")[i] & F.col("line").rlike(to_java(r.params["pattern"], r.params.get("syntax") == "regexp2")), F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(f"matches forbidden pattern {r.params['pattern']}").alias("message"))) for i, r in enumerate(rules)]
-    hits = lines.select("path", "line_no", F.explode(F.array_compact(F.array(*tests))).alias("x"))
-    return hits.select("x.rule", "x.severity", "path", F.col("line_no").cast("int").alias("line"), "x.message")
-
-
 #: How a line of a leading comment block starts, in any of the languages.
 _COMMENT = r"^\s*(?://|#|--|/\*|\*|<!--|;|$)"
 
@@ -100,44 +84,88 @@ def in_scope_test(rule: Rule) -> Column:
     return test & ~any_glob(rule.exclude) if rule.exclude else test
 
 
+def _held(rule: Rule, tests: Sequence[str]) -> Column:
+    """The scope of a rule as a test of path and `made`, which says that a generator wrote the file."""
+    held = in_scope_test(rule) if rule.generated else in_scope_test(rule) & ~F.col("made")
+    if rule.production:
+        if not tests:
+            raise ConfigError(f"{rule.id}: production scope needs the globs of test code")
+        held = held & ~any_glob(tests)
+    return held
+
+
+def _told(rule: Rule, found: Column) -> Column:
+    return F.transform(found, lambda x: F.struct(F.lit(rule.id).alias("rule"), F.lit(rule.severity).alias("severity"), x["line"].alias("line"), x["message"].alias("message")))
+
+
+def _local(files: DataFrame, rules: Sequence[Rule], tests: Sequence[str]) -> DataFrame:
+    """All rules that look at one file at a time, in one pass. A file takes part once for each transform that a rule whose
+    scope holds it asks for."""
+    kinds = sorted({r.preprocess for r in rules})
+    if kinds != ["raw"]:
+        wanted = [F.when(functools.reduce(operator.or_, (_held(r, tests) for r in rules if r.preprocess == k)), F.lit(k)) for k in kinds]
+        files = files.withColumn("kind", F.explode(F.array_compact(F.array(*wanted)))).withColumn("text", transformed_by(F.col("text"), F.col("kind")))
+    found = []
+    for r in rules:
+        held = _held(r, tests) if kinds == ["raw"] else _held(r, tests) & (F.col("kind") == r.preprocess)
+        found.append(F.when(held, _told(r, TYPES[r.type].local(r.params))))
+    # Of explode(), the optimiser would test the whole expression twice more before it makes rows.
+    rows = files.select("path", F.explode_outer(F.flatten(F.array_compact(F.array(*found)))).alias("x")).where("x is not null")
+    return rows.select("x.rule", "x.severity", "path", "x.line", "x.message")
+
+
+def _totals(files: DataFrame, rules: Sequence[Rule], floors: Sequence[Rule], tests: Sequence[str]) -> DataFrame:
+    """All rules that count over their scope, and least numbers of files, in one aggregation."""
+    columns, told = [], []
+    for r in rules:
+        own, message = TYPES[r.type].total(r.params, _held(r, tests))
+        told.append((r.id, r.severity, message([F.col(f"t{len(columns) + i}") for i in range(len(own))])))
+        columns += own
+    for r in floors:
+        n = F.col(f"t{len(columns)}")
+        columns.append(F.coalesce(F.sum(_held(r, tests).cast("long")), F.lit(0)))
+        told.append((r.id, "error", F.when(n < r.min_files, F.concat(F.lit("scope has "), n.cast("string"), F.lit(f" file(s), least are {r.min_files}")))))
+    row = files.agg(*(c.alias(f"t{i}") for i, c in enumerate(columns)))
+    verdicts = [F.when(m.isNotNull(), F.struct(F.lit(i).alias("rule"), F.lit(s).alias("severity"), m.alias("message"))) for i, s, m in told]
+    found = row.select(F.explode(F.array_compact(F.array(*verdicts))).alias("x"))
+    return found.select("x.rule", "x.severity", F.lit(NO_PATH).alias("path"), F.lit(NO_LINE).alias("line"), "x.message")
+
+
 def evaluate(files: DataFrame, rules: Iterable[Rule], changed: DataFrame | None = None, tests: Sequence[str] = (), sort: bool = True, generated: Sequence[str] = (), fixture: bool = False) -> DataFrame:
     """Findings (rule, severity, path, line, message) of all rules.
 
-    With changed (path), rules whose verdict a part of the files can give see only those; the others see all files.
-    Files with one of the `generated` markers in their leading comments are outside rules that don't ask for them. In a
-    fixture, numbers of holders and least numbers of files aren't judged.
+    Rules that one file decides share one pass over the files, those that count over their scope one aggregation; the
+    others have a plan each. With changed (path), rules whose verdict a part of the files can give see only those; the
+    others see all files. Files with one of the `generated` markers in their leading comments are outside rules that don't
+    ask for them. In a fixture, numbers of holders and least numbers of files aren't judged.
     """
     rules = [*rules]
     if not rules:
         raise ConfigError("no rule is left to run")
-    every = files
-    files = every.where(~is_generated(generated)) if generated else every
+    ship(files.sparkSession)
+    every = files.withColumn("made", is_generated(generated))
     narrow = lambda x: x if changed is None else x.join(changed.select("path").distinct(), "path", "left_semi")
-    part = narrow(files)
-    fused = [r for r in rules if _plain(r)]
-    plans = [_fused(part, fused)] if len(fused) > 1 else []
+    home = {r.id for r in rules if r.not_declaring or r.credentials}
+    local = [r for r in rules if r.id not in home and TYPES[r.type].local(r.params) is not None]
+    total = [r for r in rules if r not in local and r.id not in home and r.preprocess == "raw" and TYPES[r.type].total(r.params, F.lit(True)) is not None]
+    floors = [r for r in rules if r.min_files is not None and not fixture]
+    plans = [_local(narrow(every), local, tests)] if local else []
+    plans += [_totals(every, total, floors, tests)] if total or floors else []
     for r in rules:
-        if len(fused) > 1 and r in fused:
+        if r in local or r in total:
             continue
         kind = TYPES[r.type]
-        base = every if r.generated else files
-        scope = in_scope(base if r.whole else narrow(base), r, tests)
-        home = bool(r.not_declaring or r.credentials)
-        if home:
+        scope = (every if r.whole else narrow(every)).where(_held(r, tests)).drop("made")
+        if r.id in home:
             wrong = miscounted(scope, r).where(F.lit(not fixture))
             plans.append(wrong.select(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), "path", "line", "message"))
             scope = with_homes(scope, r)
         if r.preprocess != "raw":
             scope = scope.withColumn("text", transformed(F.col("text"), r.preprocess))
-        if home:
+        if r.id in home:
             scope = scope.withColumn("text", masked(F.col("text"), F.col("homes"))).drop("homes")
-        if kind.paths_only:
-            scope = scope.select("path", "dir", "ext")
-        plans.append(kind.build(scope, r.params).select(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), "path", "line", "message"))
-    for r in rules:
-        if r.min_files is not None and not fixture:
-            short = in_scope(every if r.generated else files, r, tests).agg(F.count("*").alias("n")).where(F.col("n") < r.min_files)
-            plans.append(short.select(F.lit(r.id).alias("rule"), F.lit("error").alias("severity"), F.lit(NO_PATH).alias("path"), F.lit(NO_LINE).alias("line"), F.concat(F.lit("scope has "), F.col("n").cast("string"), F.lit(f" file(s), least are {r.min_files}")).alias("message")))
+        found = kind.build(scope, r.params, every) if kind.universe else kind.build(scope, r.params)
+        plans.append(found.select(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), "path", "line", "message"))
     while len(plans) > 1:  # a tree, so that hundreds of rules don't make a deep plan
         plans = [plans[i].unionByName(plans[i + 1]) if i + 1 < len(plans) else plans[i] for i in range(0, len(plans), 2)]
     return ordered(plans[0]) if sort else plans[0]

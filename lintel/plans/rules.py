@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 COSTS = ("fast", "range", "tree", "heavy")
 SEVERITIES = ("error", "warn")
@@ -28,17 +28,23 @@ class RuleType:
     #: Whether the verdict needs the whole scope, not only changed files.
     whole: Callable[[Mapping[str, Any]], bool] = lambda params: False
     paths_only: bool = False
+    #: Findings of one file, as an array of (line, message) over the columns of files; None where params ask for more.
+    local: Callable[[Mapping[str, Any]], Column | None] = lambda params: None
+    #: Aggregates over the files where a test holds, and the message that their values give (null: none); None likewise.
+    total: Callable[[Mapping[str, Any], Column], tuple[list[Column], Callable[[list[Column]], Column]] | None] = lambda params, held: None
+    #: Whether build() also takes all files, in the scope or not.
+    universe: bool = False
 
 
 TYPES: dict[str, RuleType] = {}
 
 
-def rule_type(name: str, required: str = "", optional: str = "", cost: str = "fast", whole: bool | Callable[[Mapping[str, Any]], bool] = False, paths_only: bool = False):
+def rule_type(name: str, required: str = "", optional: str = "", cost: str = "fast", whole: bool | Callable[[Mapping[str, Any]], bool] = False, **more):
     """Registers build(files in scope, params) -> (path, line, message)."""
 
     def register(build: Callable[[DataFrame, Mapping[str, Any]], DataFrame]):
         decide = whole if callable(whole) else lambda params: whole
-        TYPES[name] = RuleType(name, build, frozenset(required.split()), frozenset(optional.split()), cost, decide, paths_only)
+        TYPES[name] = RuleType(name, build, frozenset(required.split()), frozenset(optional.split()), cost, decide, **more)
         return build
 
     return register

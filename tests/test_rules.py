@@ -53,7 +53,7 @@ def test_sets(spark):
     files = [("a/1", "k=x k=y"), ("b/1", "k=y k=z")]
     side = lambda d: {"files": [f"{d}/**"], "pattern": r"k=(\w)"}
     rows = engine.evaluate(corpus.memory(spark, files), [Rule(f"r-{r}", "set-relation", {"a": side("a"), "b": side("b"), "relation": r}) for r in ("subset", "equal", "disjoint")]).collect()
-    assert [r["message"] for r in rows] == ["not disjoint: y", "not equal: x, z", "not subset: x"]
+    assert [r["message"] for r in rows] == ["not disjoint: y", "not equal: only in a: x; only in b: z", "not subset: x"]
     rows = engine.evaluate(corpus.memory(spark, files), [Rule("r", "baseline", {"pattern": r"k=(\w)", "baseline": ["# c", "x", "old"], "mode": "exact"})]).collect()
     assert [r["message"] for r in rows] == ["in the baseline only: old", "not in the baseline: y", "not in the baseline: z"]
     assert found(spark, [("doc", "see a/1 and b/2"), *files], "doc-path-exists", {"pattern": r"([ab]/\d)"}) == [("doc", 1)]
@@ -67,13 +67,60 @@ def test_go(spark):
     assert found(spark, files, "go/func-line-budget", {"max_lines": 3}) == [("p.go", 8)]
     assert found(spark, files, "go/call-confined-to-func-name", {"symbol": r"^db\.Exec$", "allowed_func": "^Save$"}) == [("p.go", 9)]
     assert found(spark, files, "go/guard-precedes-call", {"guard": "^check$", "sink": r"^db\."}) == [("p.go", 9)]
-    assert found(spark, files, "go/call-order-in-func", {"sequence": ["^check$", r"^db\."]}) == [("p.go", 11)]
+    assert found(spark, files, "go/call-order-in-func", {"sequence": ["^check$", r"^db\."]}) == [("p.go", 9)]
     assert found(spark, files, "go/per-func-count-relation", {"left": "get", "right": "check", "relation": "=="}) == [("p.go", 3)]
-    assert found(spark, files, "pair-consistency", {"trigger": "Exec", "requires": "get", "where": "same-func"}) == [("p.go", 3)]
+    assert found(spark, files, "pair-consistency", {"trigger": "Exec", "requires": "get", "where": "same-func"}) == [("p.go", 5)]
     homes = [("a.go", "// home:x\nfunc F() {}\n"), ("b.go", "// home:x\nfunc F() {}\n// home:x\n")]
     assert found(spark, homes, "go/marked-single-home", {"marker": "home:x"}) == [("b.go", 1), ("b.go", 3)]
 
 
+def test_anchors(spark):
+    """A scope without files has nothing to be anchored to; stages and symbols are looked for in every function."""
+    order, count = "go/call-order-in-func", "go/per-func-count-relation"
+    for kind, params in ((order, {"sequence": ["a", "b"]}), (order, {"sequence": ["a", "b"], "funcs": "F"}), (count, {"left": "a", "right": "b", "relation": "==", "funcs": "F", "require_symbol": "both"}), ("dart/method-delegates", {"method": "save", "must_call": "x"})):
+        assert found(spark, [], kind, params) == [] and found(spark, [("notes.txt", "none")], kind, params) == []
+    files = [("p.go", GO)]
+    assert found(spark, files, order, {"sequence": ["^check$", r"^db\."], "funcs": "^Load$"}) == [("p.go", 9)]
+    assert found(spark, files, order, {"sequence": ["^get$", "^none$"], "funcs": "^Gone$"}) == [("", 0), ("", 0)]
+    assert found(spark, files, count, {"left": "^zip$", "right": "^none$", "relation": "<=", "require_symbol": "left"}) == [("", 0)]
+    assert found(spark, files, count, {"left": "^get$", "right": "^none$", "relation": "<=", "require_symbol": "both"}) == [("", 0), ("p.go", 8)]
+    assert found(spark, files, count, {"left": "^check$", "right": "^none$", "relation": "<=", "require_used": "left"}) == []
+    for bad in ({"require_symbol": "check"}, {"require_used": True}):
+        with pytest.raises(ConfigError):
+            found(spark, files, count, {"left": "a", "right": "b", "relation": "<=", **bad})
+
+
+def test_what_counts_where(spark):
+    assert found(spark, [("a", "x\nb"), ("b", "x b")], "required-pattern", {"pattern": "zz", "when": "^b"}) == [("a", 0)]
+    assert found(spark, [("a", "x\nb")], "required-pattern", {"pattern": "zz", "when": "x.b", "multiline": True}) == []
+    assert found(spark, [("a", "q\n(one\ntwo)\nq\nq")], "forbidden-pattern", {"pattern": "^q", "evidence": {"pattern": r"one\ntwo", "within": 1}}) == [("a", 4)]
+    assert found(spark, [("a", b""), ("b", b"x")], "binary-content", {"max_bytes": 0}) == [("b", 0)]
+    go = "package p\nfunc A() {\n\tx()\n}\nfunc B() {\n\tx()\n\tmark()\n}\n"
+    assert found(spark, [("p.go", go)], "pair-consistency", {"trigger": "x\\(", "requires": "close", "where": "same-func", "also_present": "mark"}) == [("p.go", 6)]
+    for kind, params in (("binary-content", {}), ("binary-content", {"max_bytes": -1}), ("required-pattern", {"pattern": "x", "mode": "all"}), ("forbidden-pattern", {"pattern": "x", "denied_by": [" "]}), ("forbidden-pattern", {"pattern": "x", "denied_by": ["no."]}), ("pair-consistency", {"trigger": "a", "requires": "b", "where": "same-dir", "also_present": "c"}), ("pair-consistency", {"trigger": "a", "requires": "b", "where": "same-dir", "obligation": "countable"}), ("doc-path-exists", {"pattern": "x"})):
+        with pytest.raises(ConfigError):
+            found(spark, [("a", "x")], kind, params)
+    side = lambda d, n: {"files": [f"{d}/**"], "pattern": r"k=(\w)", "min_count": n}
+    rule = Rule("r", "set-relation", {"a": side("a", 3), "b": side("b", 2), "relation": "equal"})
+    rows = engine.evaluate(corpus.memory(spark, [("a/1", "k=x k=y"), ("b/1", "k=y")]), [rule]).collect()
+    assert [r["message"] for r in rows] == ["side a has 2 value(s), least are 3; side b has 1 value(s), least are 2"]
+    files = [("docs/a.md", "see src/x.go, src, ./src/x.go, src/, src/y.go"), ("src/x.go", "x")]
+    assert found(spark, files, "doc-path-exists", {"pattern": r"(\.?[a-z/.]*src[a-z/.]*)"}, include=("docs/**",)) == [("docs/a.md", 1)]
+
+
+def test_one_pass_for_all_rules(spark):
+    """However many rules read the files twice, whatever their transforms, and find what each finds alone."""
+    files = corpus.memory(spark, [("a.go", "// todo 7\nx := 7\n"), ("b.md", "todo 7\nnine\n"), ("c.sh", "echo 3 # 7\n")])
+    rules = [Rule(f"r-{i}", "forbidden-pattern", {"pattern": str(i)}, preprocess=("raw", "decomment-go", "decomment-sh")[i % 3]) for i in range(9)]
+    rules += [Rule(f"q-{i}", "required-pattern", {"pattern": "todo", "when": ["7"]}, include=("*.md",) if i % 2 else ("**",)) for i in range(4)]
+    rules += [Rule(f"s-{i}", "file-size", {"cap": i}) for i in range(1, 3)] + [Rule(f"n-{i}", "pattern-count", {"pattern": "7", "op": "at-most", "n": i}) for i in range(2)]
+    rules += [Rule("floor", "file-naming", {"forbid_ext": [".md"]}, include=("**/*.go",), min_files=2)]
+    files.createOrReplaceTempView("x")
+    both = engine.evaluate(files, rules)
+    assert [tuple(r) for r in both.collect()] == sorted(tuple(r) for rule in rules for r in engine.evaluate(files, [rule]).collect())
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + both._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") <= 3
+
+
 def test_dart_and_sql(spark):
     dart = "class A {\n  void save() async {\n    a();\n    await b();\n    context.x();\n    if (mounted)\n      context.y();\n  }\n}\n"
     assert found(spark, [("a.dart", dart)], "dart/ref-after-await", {"method": "save", "access": "context", "guard": "mounted"}) == [("a.dart", 5)]
