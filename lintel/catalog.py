@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintel import catalog_code
 from lintel.plans import engine
 from lintel.plans.rules import Rule
 from lintel.schema import files_of
@@ -111,8 +112,6 @@ def _cases() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], list[R
             with v as (select distinct unnest(regexp_extract_all(line, '\b([a-z]+ing)\b', 1)) v from {lines}), k as (select unnest(['ing', 'nothing']) v)
             select 'listed' "rule", 'error' severity, '' path, 0 line, message from (select 'not in the baseline: ' || v message from v where v not in (from k) union all select 'in the baseline only: ' || v from k where v not in (from v))"""),
         "f5_min_files": (documents, [_rule("floor", "file-naming", {"forbid_ext": [".md"]}, include=("src3/fr/**",), min_files=100000)], _sql("floor", f"(select count(*) n from {files} where path like 'src3/fr/%') where n < 100000", "concat('scope has ', n, ' file(s), least are 100000')", path="''", line="0")),
-        "r28_statement_predicate": (documents, [_rule("statements", "sql/statement-predicate", {"table": r"(?i)\bwith\b", "require": [r"(?i)\bthat\b"], "forbid": [r"\bseldom\b"]})], None),
-        "r27_locking_target": (documents, [_rule("locks", "sql/locking-target", {"table": "^orders$", "strength": ["update"]})], None),
         "t_decomment_sh": (documents, [_rule("code", "forbidden-pattern", {"pattern": r"###"}, preprocess="decomment-sh")], None),
     }
     t = "(select concat(conv_id, '/', lpad(turn::varchar, 4, '0'), '-', role) path, conv_id::varchar dir, case when regexp_replace(coalesce(text, ''), '\\n$', '') = '' then [] else string_split(regexp_replace(text, '\\n$', ''), chr(10)) end ls from conversations)"
@@ -166,11 +165,12 @@ def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: functools.partial(_run, files, rules) for name, (files, rules, _) in _cases().items()}
-    return found | {"o5_scope_class": scope_class, "k_verdicts": verdicts, "s8_changeset": changeset, "f3_generated": generated}
+    return found | catalog_code.queries() | {"o5_scope_class": scope_class, "k_verdicts": verdicts, "s8_changeset": changeset, "f3_generated": generated}
 
 
 def oracles() -> dict[str, str]:
     found = {name: sql for name, (_, _, sql) in _cases().items() if sql}
+    found |= catalog_code.oracles()
     fused = found["r1a_forbidden_fused"]
     found["o5_scope_class"] = f"select case max(case when path like 'src0/%' then 0 when path like 'src1/%' or path like 'src2/%' then 1 else 2 end) when 0 then 'docs' when 1 then 'governance' else 'runtime' end scope from ({_FILES})"
     found["k_verdicts"] = f"select r \"rule\", count(f.path) n_findings, count(f.path) = 0 passed from (select unnest(['no-secrets', 'no-mail', 'no-hosts']) r) left join ({fused}) f on f.\"rule\" = r group by r"

@@ -210,6 +210,8 @@ def _awk(s: _Scan) -> None:
             s.take(1, CODE)
 
 
+#: Transforms that rules can't name: what reads SQL uses them itself.
+INTERNAL = frozenset({"decomment-sql"})
 _SCANNERS: dict[str, Callable[[_Scan], None]] = {"go": _go, "sql": _sql, "dart": _dart, "sh": _sh, "awk": _awk}
 #: Name of each transform, the language it reads and the classes it keeps.
 TRANSFORMS = {

@@ -126,8 +126,10 @@ def to_java(pattern: str, backtracking: bool = False) -> str:
         elif c == ")":
             multi = stack.pop() if stack else multi
             out, i = out + c, i + 1
-        elif c in "*+?" and pattern[i + 1 : i + 2] == "+" and not backtracking:
+        elif c in "*+?" and pattern[i + 1 : i + 2] in ("+", "*") and not backtracking:
             raise PatternError("nested repetition")
+        elif c == "{" and (times := re.compile(r"\{(\d+)(?:,(\d*))?\}").match(pattern, i)) and max(int(x) for x in times.groups() if x) > 1000:
+            raise PatternError("over 1000 repetitions")
         else:
             out, i = out + c, i + 1
     return out

@@ -33,7 +33,7 @@ def _named(path: Column) -> Column:
 def doc_path_exists(files: DataFrame, params: Mapping[str, Any], every: DataFrame | None = None) -> DataFrame:
     """A finding for each cited path (group 1) that is neither a file of the whole tree (in the scope or not) nor one of its
     directories. Distinct tokens meet the listing, so that a token that is cited often is one row there."""
-    bare = re.sub(r"\[\^?\]?(?:\\.|[^\]])*\]|\\.", "", params["pattern"])
+    bare = re.sub(r"\[\^?\]?(?:\\.|[^\]])*\]|\\.", "x", params["pattern"])
     if len(re.findall(r"\((?!\?)|\(\?P?<[A-Za-z_]", bare)) != 1:
         raise ConfigError("the pattern has one group, which is the path")
     regex = F.lit(java(params, params["pattern"]))

@@ -70,7 +70,7 @@ class Rule:
     not_declaring: tuple[tuple[str, int], ...] = ()
 
     def __post_init__(self) -> None:
-        from lintel.functions.lexers import TRANSFORMS
+        from lintel.functions.lexers import INTERNAL, TRANSFORMS
 
         if not re.fullmatch(r"[a-z0-9]+(-[a-z0-9]+)*", self.id):
             raise ConfigError(f"{self.id!r}: ids are kebab-case")
@@ -78,7 +78,7 @@ class Rule:
             raise ConfigError(f"{self.id}: unknown severity {self.severity!r}")
         if self.type not in TYPES:
             raise ConfigError(f"{self.id}: unknown type {self.type!r}")
-        if self.preprocess not in TRANSFORMS and self.preprocess not in ("raw", "qualify-proto-go-alias"):
+        if self.preprocess not in set(TRANSFORMS) - INTERNAL and self.preprocess not in ("raw", "qualify-proto-go-alias"):
             raise ConfigError(f"{self.id}: unknown preprocessor {self.preprocess!r}")
         if self.cost is not None and self.cost not in COSTS:
             raise ConfigError(f"{self.id}: unknown cost {self.cost!r}")

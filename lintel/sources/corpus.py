@@ -8,6 +8,7 @@ import subprocess
 import unicodedata
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,10 @@ def memory(spark: SparkSession, files: Iterable[tuple[str, str | bytes]]) -> Dat
 
 
 def _decoded(rows: DataFrame) -> DataFrame:
-    decode = F.udf(lambda b: (b or b"").decode("utf-8", "replace"), "string")
+    @F.pandas_udf("string")
+    def decode(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda b: (b or b"").decode("utf-8", "replace"))
+
     return with_parts(rows.withColumn("text", decode("content"))).select("path", "dir", "ext", "content", "text")
 
 
@@ -69,8 +73,6 @@ def tree(spark: SparkSession, root: str, ignore: Mapping[str, str] | None = None
     base = os.path.realpath(root)
 
     def read(rows: Iterator) -> Iterator:
-        import pandas as pd
-
         for batch in rows:
             for at in range(0, len(batch), 64):
                 some = batch["path"].iloc[at : at + 64]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lintel.functions.lexers import TRANSFORMS, transform
-from lintel.functions.patterns import PatternError, glob_to_regex, required_literal, to_java
+from lintel.functions.patterns import PatternError, gate_of, glob_to_regex, required_literal, to_java
 
 PATTERNS = [r"a$", r"^a.b", r"[[:alpha:]]+[[:digit:]]", r"(?P<first_name>b)c", r"\bcat\b", r"a\sb", r"[\s,]x", r"(?i)stra", r"(?m)^b$", r"[^a-c\n]z", r"\Ba", r"x{2,3}", r"\.$|b\b", r"a\b.", r"\b(a|é)", r"[&[]b"]
 TEXTS = ["", "a", "a\n", "a\r\n", "xa\rb", "a b", "a\x0bb", "éa", "a é cat", "cat", "scat", "ab1 b", "bc", "ſtra STRA", "c\nb\n", "dz", "xxx", ", x", "a b", "é", "&b", "[b"]
@@ -66,3 +66,25 @@ def test_transforms():
     assert transform("code-only-dart", "x('a ${f('b')} c') // d").strip() == "x('  ${f(' ')}  ')"
     assert transform("strings-only-sh", "cat <<E # c\nhi\nE\n") == "           \nhi\n \n"
     assert "message api.Order {" in transform("qualify-proto-go-alias", 'option go_package = "x/y;api";\nmessage Order {\n}')
+
+
+@pytest.mark.parametrize("pattern", ["a**", "a+*", "a{1001}", "a{2,1001}", "a{1001,}"])
+def test_repetitions_that_are_refused(pattern):
+    with pytest.raises(PatternError):
+        to_java(pattern)
+
+
+@pytest.mark.parametrize(("pattern", "literal"), [(r"(?i)\b(token|key)\s*=\s*\d", "="), (r"[\w.]+@[\w]+", "@"), ("(a|b)cde", "cde"), ("ab|cd", None), ("(?i)abc", None), (r"x{0,2}yy", "yy")])
+def test_required_literal(pattern, literal):
+    assert required_literal(pattern) == literal
+
+
+def test_gates_are_no_narrower_than_lines():
+    import re
+
+    for pattern in ("^a$", "b$", r"^\s+c", "(^a|c$)", r"x.y"):
+        gate = re.compile(gate_of(pattern).replace("(?d)", ""))
+        for text in ("a", "b\na\nc", "  c\nq", "xxy\n", "ab\n"):
+            if any(re.search(pattern, line) for line in text.split("\n")):
+                assert gate.search(text), (pattern, text)
+    assert gate_of(r"\Aa") is None and gate_of("a", True) is None
