@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of our
+    own; on a cluster there is none that all machines see."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lintel-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -66,6 +70,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star steps until the edges form stars; every round is an aggregation and a join
     on the node, written to the shared folder. Nothing is collected but one row of checksums. Null ends are left out.
+    RuntimeError if the edges move after most_rounds; rounds grow with the logarithm of the longest path.
     """
     edges = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = stored(edges, "edges")
