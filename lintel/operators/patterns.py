@@ -123,9 +123,14 @@ def forbidden(files: DataFrame, params: Mapping[str, Any]) -> DataFrame:
     return rows.select(*finding(message, F.col("hits")[0]))
 
 
+def within_line(pattern: str) -> bool:
+    """Whether it is plain to see that no match goes over the end of a line."""
+    return not re.search(r"\\[^bBwd.\-/]|\[\^|\(\?[a-zA-Z]*s|\n", pattern)
+
+
 def evidence_lines(text: Column, params: Mapping[str, Any], proof: str) -> Column:
     """The lines where matches in a text start; they may span lines."""
-    if not re.search(r"\\[^bBwd.\-/]|\[\^|\(\?[a-zA-Z]*s", proof):
+    if within_line(proof):
         return places(text, matches(params, proof))
     regex = java(params, proof)
     breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
@@ -212,6 +217,9 @@ def _required(params: Mapping[str, Any]) -> tuple[Column, Column]:
     def has(pattern: str) -> Column:
         if params.get("multiline"):
             return F.col("text").rlike(java(params, pattern))
+        wide = gate_of(pattern, params.get("syntax") == "regexp2")
+        if wide and within_line(pattern):  # then a match anywhere is one in a line, if there are lines
+            return ~F.col("text").isin("", "\n") & gate(params, pattern) & F.col("text").rlike(wide)
         return gate(params, pattern) & F.exists(_lines(), matches(params, pattern))
 
     return functools.reduce(operator.and_, (has(p) for p in _list(params.get("when"))), F.lit(True)), has(params["pattern"])

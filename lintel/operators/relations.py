@@ -32,7 +32,7 @@ def _named(path: Column) -> Column:
 @rule_type("doc-path-exists", "pattern", "syntax", whole=True, universe=True)
 def doc_path_exists(files: DataFrame, params: Mapping[str, Any], every: DataFrame | None = None) -> DataFrame:
     """A finding for each cited path (group 1) that is neither a file of the whole tree (in the scope or not) nor one of its
-    directories. Distinct tokens meet the listing, so that a token that is cited often is one row there."""
+    directories. Citations meet the listing in one anti-join, which is broadcast or split where a path is cited often."""
     bare = re.sub(r"\[\^?\]?(?:\\.|[^\]])*\]|\\.", "x", params["pattern"])
     if len(re.findall(r"\((?!\?)|\(\?P?<[A-Za-z_]", bare)) != 1:
         raise ConfigError("the pattern has one group, which is the path")
@@ -41,9 +41,8 @@ def doc_path_exists(files: DataFrame, params: Mapping[str, Any], every: DataFram
     cited = gated(files, params, params["pattern"]).select("path", F.explode_outer(cites).alias("x")).where("x is not null").select("path", "x.*").where("token <> ''")
     parts = F.split("path", "/", -1)
     listed = (files if every is None else every).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("name")).distinct()
-    tokens = cited.select("token").distinct().withColumn("name", _named(F.col("token"))).where("name <> ''")
-    missing = tokens.join(listed, "name", "left_anti").select("token")
-    found = cited.join(missing, "token", "left_semi")
+    named = cited.withColumn("name", _named(F.col("token"))).where("name <> ''")
+    found = named.join(listed, "name", "left_anti")
     return found.select(*finding(F.concat(F.lit("cited path doesn't exist: "), F.col("token"))))
 
 
