@@ -31,6 +31,13 @@ _STATEMENTS = (
     " case when doc_id % 4 = 0 then 'select * from shop.orders o where status = 1 for update;\n' else 'select * from shop.orders o order by id for update;\n' end,"
     " 'select 1 from lines for share;\n')"
 )
+#: Statements in Go constants: a sum with a named constant, a raw string, and one in three that isn't constant.
+_LITERALS = (
+    "concat('package p\n', repeat('\n', cast(doc_id % 3 as int)), 'const orders = \"shop.orders\"\n', 'func F(x string) {\n',"
+    " case when doc_id % 4 = 0 then '\tq(\"select a from \" + orders + \" for update\")\n' else '\tq(\"select a from \" + orders +\n\t\t\" order by id for update\")\n' end,"
+    " '\tq(`select b\nfrom shop.orders\nwhere status = 1`)\n',"
+    " case when doc_id % 3 = 0 then '\tq(\"delete from \" + x)\n' else '\tq(\"plain \" + x)\n' end, '}\n')"
+)
 _TESTS = (
     "concat('package p\nimport o \"os\"\nfunc T', doc_id, '(t *T, dir string) {\n\tp := filepath.Join(root(), \"x\")\n\twant, _ := o.ReadFile(p)\n',"
     " case when doc_id % 2 = 0 then '\tgot := render(loadX(p))\n' else '\tgot := render(model)\n' end, '\tif !bytes.Equal(want, got) {\n\t}\n}\n')"
@@ -116,6 +123,9 @@ def _cases() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], list[R
         "r26_locking_order": (sql, rule("locks", "sql/locking-select-order", {}), _sql("locks", f"(select *, unnest(case when i % 4 = 0 then [0, 1] else [1] end) k from {_docs(s)})", "2 + i % 3 + k", "'locking SELECT without a total order or a pinned unique key'")),
         "r27_locking_target": (sql, rule("guarded", "sql/locking-target", {"table": "^orders$", "strength": ["update"], "schema": "^shop$"}), _sql("guarded", _docs(s), "2 + i % 3", "'shop.orders is locked for update'")),
         "r28_statement_predicate": (sql, rule("statements", "sql/statement-predicate", {"table": r"\bshop\.orders\b", "require": ["order by"], "forbid": ["status"]}), _sql("statements", f"(select *, unnest(['lacks order by', 'holds status']) w from {_docs(s, 'doc_id % 4 = 0')})", "2 + i % 3", "concat('statement ', w)")),
+        "r28_go_literals": (sources(_LITERALS, g), rule("statements", "sql/statement-predicate", {"table": r"from shop\.orders\b", "require": ["order by"]}), _sql("statements", f"(select *, unnest([case when i % 4 = 0 then 4 end, case when i % 4 = 0 then 5 else 6 end, case when i % 3 = 0 then case when i % 4 = 0 then 8 else 9 end end]) k, unnest([1, 2, 3]) w from {_docs(g)}) where k is not null", "k + i % 3", "case when w = 3 then 'SQL that is put together can''t be read' else 'statement lacks order by' end")),
+        "r26_go_literals": (sources(_LITERALS, g), rule("locks", "sql/locking-select-order", {}), _sql("locks", _docs(g, "doc_id % 4 = 0"), "4 + i % 3", "'locking SELECT without a total order or a pinned unique key'")),
+        "r27_go_literals": (sources(_LITERALS, g), rule("guarded", "sql/locking-target", {"table": "^orders$", "strength": ["update"], "schema": "^shop$"}), _sql("guarded", _docs(g), "4 + i % 3", "'shop.orders is locked for update'")),
         "f2_production": (go, None, _sql("shipped", _docs(g, "doc_id % 7 not in (3, 4)"), "5 + (doc_id % 3 <> 0)::int", r"'matches forbidden pattern db\.Exec'")),
     }
     for name, lines in _KEPT.items():

@@ -363,3 +363,45 @@ def test_gitignore(spark, tmp_path):
     files, _ = corpus.tree(spark, str(tmp_path))
     assert sorted(r["path"] for r in corpus.prune(files, corpus.ignored(str(tmp_path))).select("path").collect()) == [".gitignore", "keep", "out2/a"]
     assert corpus.ignored("/nowhere") == []
+
+
+CONSTANTS = """package p
+import "fmt"
+const tbl = "orders"
+const (
+	cols = "a, " + "b" // "x"
+	both = cols + ", c"
+)
+func f(x string) {
+	run("select " + both + " from " + tbl)
+	run(`select 1
+from t`, "plain")
+	run("select " + x + " from " + "t")
+	run(fmt.Sprintf("select %s from %s", cols, tbl), fmt.Sprintf("select 1 from %s where a = %d%%", tbl, n))
+	run(("a" + "b") + "c", x + "\\x41\\t\\101")
+	if ("k" == x) { g(h("l") + x + "tail") }
+	/* "no" */ run('"', "one" +
+		"two", x)
+}
+"""
+
+
+def test_go_constants():
+    from lintel.operators.gosql import composed, sql_shaped
+
+    whole, partly = composed(CONSTANTS)
+    alone = [(x.line, x.text) for x in whole if not x.part]
+    assert alone == [(2, "fmt"), (3, "orders"), (5, "a, b"), (6, "a, b, c"), (9, "select a, b, c from orders"), (10, "select 1\nfrom t"), (11, "plain"), (13, "select a, b from orders"), (14, "abc"), (15, "k"), (15, "l"), (16, "onetwo")]
+    assert [(x.line, x.text) for x in whole if x.part] == [(12, "select "), (12, " from "), (12, "t"), (13, "select 1 from %s where a = %d%%"), (14, "A\tA"), (15, "tail")]
+    assert [(x.line, x.text) for x in partly] == [(12, "select unread_expr from t"), (13, "select 1 from orders where a = unread_expr%"), (14, "unread_exprA\tA"), (15, "unread_exprunread_exprtail")]
+    assert composed("") == ([], []) and composed('"') == composed('x + "') and len(composed("(" * 50 + '"a"' + ")" * 50)[0]) == 1
+    assert [x.text for x in composed("(" * 3000 + '"a"' + ")" * 3000)[0]] == ["a"]
+    assert [sql_shaped(x) for x in ("drop table if exists x", "create unique index i", "Select a plan", "-- x\n(select 1 from y", "selected from", "")] == [True, True, False, True, False, False]
+
+
+def test_sql_in_go(spark):
+    go = 'package p\nfunc f(x string) {\n\tq("select a from t where id = " + x)\n\tq("select a from t " + "for update")\n\tq("select a from t" + x + " order by id for update")\n\tq(fmt.Sprintf("select a from t order by %s for update", x))\n}\n'
+    files = [("a.go", go), ("b.py", 'q("select a from t for update")')]
+    assert found(spark, files, "sql/statement-predicate", {"table": "from t", "forbid": ["for update"]}) == [("a.go", 3), ("a.go", 4), ("a.go", 5), ("a.go", 6), ("a.go", 6)]
+    assert found(spark, files, "sql/locking-select-order", {}) == [("a.go", 4), ("a.go", 6)]
+    assert found(spark, files, "sql/locking-target", {"table": "^t$", "strength": ["update"]}) == [("a.go", 4), ("a.go", 6)]  # line 5: x ends the name
