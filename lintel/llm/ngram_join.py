@@ -113,6 +113,7 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, key: str =
     one shingle. Two rows link when 100 * shared >= percent * united. component_id is the smallest doc_id reachable by
     links, the row's own included. A null or empty text has an empty set and links with nothing. Rows that share a doc_id
     are one node; a null doc_id links only through its exact copies. Ties need no rule: links don't depend on any order.
+    RuntimeError if components still change after 60 rounds, which grow with the logarithm of the longest chain of links.
 
     Equal sets are one class, and a class is handled once. Classes with the same prefix (the rarest shingles) and size
     form a group, and groups meet on prefix shingles. First each group meets one pivot of each of its shingles, and each
