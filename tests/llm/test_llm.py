@@ -126,6 +126,47 @@ def test_suffix_dedup(spark, monkeypatch, most):
     assert [tuple(r)[1:5] for r in got] == brute_repeats([x.encode() for x in rows], 400)
 
 
+def brute_shared(rows, length):
+    held = defaultdict(set)
+    for n, t in rows:
+        for i in range(len(t) - length + 1):
+            held[t[i : i + length]].add(n)
+    return [len({j for i in range(len(t) - length + 1) if len(held[t[i : i + length]]) > 1 for j in range(i, i + length)}) for _, t in rows]
+
+
+@pytest.mark.parametrize("most", [1 << 20, 500])
+def test_suffix_shared(spark, monkeypatch, most):
+    monkeypatch.setattr(suffixes, "MOST_BYTES", most)
+    rnd = random.Random(most + 1)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghé") for _ in range(rnd.randint(3, 7))) for _ in range(n))
+    short, long, line = words(51), words(120), words(16)  # of under 400 bytes, of more, no passage
+    assert 256 <= len(short.encode()) < 400 < len(long.encode()) and len(line.encode()) < 256
+    rows = [(i, " ".join(x)) for i, x in enumerate([(words(30), short, words(40)), (words(50), short), (short, words(9), line, words(20))])]
+    rows += [(3, f"{long} {words(3)} {long}"), (4, f"{words(30)} {line} {words(60)}"), (5, "ab" * 500), (6, "q" * 300), (7, "q" * 300)]
+    rows += [(8, f"{words(20)} {long[50:]} {words(20)}"), (9, words(80)), (9, rows[0][1][:280] + words(50)), (10, words(90) + "q" * 257)]
+    rows += [(11 + i, long[rnd.randrange(200) :][: rnd.randrange(200, 460)] + words(40)) for i in range(12)] + [(40, ""), (41, line), (42, words(50)), (42, rows[4][1])]
+    rows += [(43, long), (44, long), (45, short[:255]), (46, "z" + short[:256])]
+    got = suffixes.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    raw = [(i, t.encode()) for i, t in rows]
+    want = [(i, *x, n) for (i, _), x, n in zip(raw, brute_repeats([t for _, t in raw], 400), brute_shared(raw, 256), strict=True)]
+    assert sorted(tuple(r)[:6] for r in got) == sorted(want)
+    verdict = {r["doc_id"]: (r["n_removed"] > 0, r["n_shared"] > 0) for r in got}
+    assert [verdict[i] for i in (0, 1, 2, 5, 41)] == [(False, True)] * 3 + [(True, False), (False, False)]
+
+
+def test_suffix_anchors():
+    rnd = random.Random(9)
+    for length, raw in [(60, bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(60, 400)))) for _ in range(60)] + [(60, b"q" * 200), (60, b"abc" * 60), (256, rnd.randbytes(3000)), (60, b"q" * 60)]:
+        start, number, value, at, twice = suffixes.anchors(raw, length)
+        assert sum(number) == len(raw) - length + 1
+        whole = lambda b: suffixes.anchors(b, 32)[2][0]  # noqa: E731  the only hash of 32 bytes
+        h = [int(whole(raw[i : i + 32])) for i in range(len(raw) - 31)]
+        for s, n, v, a, t in zip(start.tolist(), number.tolist(), value.tolist(), at.tolist(), twice.tolist(), strict=True):
+            assert all(min(h[i : i + length - 31]) == v for i in range(s, s + n))
+            span = h[s : s + n + length - 32]
+            assert span.index(v) == a and t == (span.count(v) > 1)
+
+
 def test_spans_odd(odd, none):
     for f in (suffixes.repeats, chunks.dedupe_chunks):
         got = f(odd).collect()
